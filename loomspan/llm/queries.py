@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import once_per, table
-from . import clusters, percentiles, queries_sql, vectors
+from ..runtime import cut, once_per, table
+from . import clusters, mix, percentiles, queries_sql, tokens, vectors
 
 
 def p1_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -54,5 +54,30 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.join(sizes, "cluster").select(F.col("cluster").alias("cluster_key"), "pca_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_percentiles, p3_found, p3_clusters)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents").select("doc_id", "text"), "text")
+
+
+def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their source and tokens, and the targets."""
+    name = F.lower(F.trim("source"))
+    docs = tokens.count_tokens(table(spark, d, "documents").select("doc_id", name.alias("source"), "text"), "text")
+    targets = table(spark, d, "source_targets").select(name.alias("source"), "target_share", "max_repeats")
+    return once_per(docs, "doc_id").select("doc_id", F.array_compact(F.array("source")).alias("sources"), "n_tokens"), targets
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix.report(*_sized(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = _sized(spark, d)
+    return mix.select(cut(docs), targets)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_report(spark, d).filter("short").select("source")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_percentiles, p3_found, p3_clusters, p8_ids, p9_found, p9_report, p9_mix)}
 SQL = queries_sql.SQL
