@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, once_per, table
-from . import clusters, mix, percentiles, queries_sql, tokens, vectors
+from . import clusters, mix, percentiles, queries_sql, subject, tokens, vectors
 
 
 def p1_similar(spark: SparkSession, d: str) -> DataFrame:
@@ -79,5 +79,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_report(spark, d).filter("short").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_percentiles, p3_found, p3_clusters, p8_ids, p9_found, p9_report, p9_mix)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, subject) of every document that is about a subject."""
+    names = [r.subject for r in table(spark, d, "subject_areas").select("subject").filter("subject is not null").distinct().orderBy("subject").limit(1000).collect()]
+    return subject.subject_areas(table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "subject_labels"), names)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_percentiles, p3_found, p3_clusters, p8_ids, p9_found, p9_report, p9_mix, p10_found)}
 SQL = queries_sql.SQL
