@@ -8,10 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sequences import CODONS
 
 
+def _struct(*names: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, kind) for n in names])
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.vectorize(math.lgamma, otypes=[float])(x)
 
@@ -28,7 +33,7 @@ def hwe_exact(aa: int, ab: int, bb: int) -> float:
     return float(min(1.0, p[p <= p[h == ab][0] + 1e-9].sum() / p.sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _hwe(aa: pd.Series, ab: pd.Series, bb: pd.Series) -> pd.Series:
     keys = pd.DataFrame({"a": aa.fillna(0).astype(int), "b": ab.fillna(0).astype(int), "c": bb.fillna(0).astype(int)})
     known = {k: hwe_exact(*k) for k in set(map(tuple, keys.to_numpy().tolist()))}
@@ -164,12 +169,12 @@ def kaks(a: str, b: str) -> tuple[float, float, float]:
     return ka, ks, ka / ks if ks > 0 else 0.0
 
 
-@F.pandas_udf("ka double, ks double, ratio double")
+@F.pandas_udf(_struct("ka", "ks", "ratio", kind=T.DoubleType()))
 def kaks_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kaks(x, y) if x is not None and y is not None else (None, None, None) for x, y in zip(a, b)], columns=["ka", "ks", "ratio"])
 
 
-@F.pandas_udf("a string, b string")
+@F.pandas_udf(_struct("a", "b", kind=T.StringType()))
 def align_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([align(x, y) if x is not None and y is not None else (None, None) for x, y in zip(a, b)], columns=["a", "b"])
 

@@ -17,8 +17,7 @@ def amino(codon: Column, unknown: str = "X") -> Column:
 
 
 def codons(seq: Column) -> Column:
-    n = F.floor(F.length(seq) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(seq, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(seq, F.lit("(...)"), 1)
 
 
 def translate(seq: Column, unknown: str = "X") -> Column:
