@@ -14,7 +14,7 @@ from ..runtime import once_per, small, table
 from . import genotype as G
 
 P = G.PLOIDY
-_R = lambda c, n=6: F.round(c, n)
+_R = lambda c, n=9: F.round(c, n)
 
 
 def _stats(spark: SparkSession, d: str, min_depth: int = 0) -> DataFrame:
@@ -128,7 +128,7 @@ def haplotype_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def haplotype_pc1(spark: SparkSession, d: str) -> DataFrame:
-    return ld.haplotype_pc1(G.sites(spark, d), 5, P).select("chrom", "block", "start", "end", F.col("n").cast("long").alias("n"), F.transform("d", lambda x: F.round(x, 6)).alias("d"))
+    return ld.haplotype_pc1(G.sites(spark, d), 5, P).select("chrom", "block", "start", "end", F.col("n").cast("long").alias("n"), F.transform("d", lambda x: F.round(x, 9)).alias("d"))
 
 
 def _copies(spark: SparkSession, d: str) -> DataFrame:

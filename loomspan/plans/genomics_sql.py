@@ -21,19 +21,20 @@ st as (select every.chrom, every.pos, 1 - coalesce(n, 0) / 25.0 as missing,
 
 
 def _histogram(name: str, bins: int) -> str:
-    return _CELLS + _stats(0) + f"select greatest(least(floor(round({name}, 6) * {bins}), {bins - 1}), 0)::int as bin, count(*) as n from st where {name} is not null group by 1"
+    return _CELLS + _stats(0) + f"select greatest(least(floor(round({name}, 9) * {bins}), {bins - 1}), 0)::int as bin, count(*) as n from st where {name} is not null group by 1"
 
 
 _POPS = _CELLS + """,
 pops as (select pos as site, n_regionkey as pop, 10.0 as copies, floor(d * 10 + 0.5) as alt from dos join nation on n_nationkey = sample),
 bp as (select site, pop, sum(copies) as n, sum(alt) as a from pops group by all)
 """
-_ROUND = _CELLS + ", rd as (select pos, sample, ceil(d * 10 - 0.5) / 10 as d from dos)\n"
+_ROUND = _CELLS + ", rd as (select pos, sample, ceil(d * 10 - 0.5) / 10 + 0.0 as d from dos)\n"
 _GRID = "(select pos, sample from every cross join axis)"
 
 
 def _distance(expr: str) -> str:
-    return _CELLS + f"select a.sample::bigint as i, b.sample::bigint as j, round({expr}, 6) as value, count(*) as shared from dos a join dos b on a.pos = b.pos and a.sample < b.sample group by all"
+    return _CELLS + f""", v as (select a.sample as i, b.sample as j, {expr} as value, count(*) as n from dos a join dos b on a.pos = b.pos and a.sample < b.sample group by all)
+select x.sample::bigint as i, y.sample::bigint as j, round(value, 9) as value, coalesce(n, 0) as shared from axis x join axis y on x.sample < y.sample left join v on v.i = x.sample and v.j = y.sample"""
 
 
 _LD = _CELLS + """,
@@ -44,7 +45,7 @@ h as (select g.* from g join k using (chrom, pos)),
 pr as (select a.chrom, a.pos as pos1, b.pos as pos2, b.pos - a.pos as distance, count(*) as n, sum(a.d) as sa, sum(b.d) as sb, sum(a.d * a.d) as aa, sum(b.d * b.d) as bb, sum(a.d * b.d) as ab
   from h a join h b on a.chrom = b.chrom and a.sample = b.sample and b.pos > a.pos and b.pos - a.pos <= 200 group by all),
 ld as (select chrom, pos1, pos2, distance, case when n * aa - sa * sa <= 1e-9 or n * bb - sb * sb <= 1e-9 then 0 else (n * ab - sa * sb) * (n * ab - sa * sb) / ((n * aa - sa * sa) * (n * bb - sb * sb)) end as r2 from pr where n >= 3),
-dc as (select floor(distance / 20)::bigint as bin, round(avg(r2), 6) as mean_r2, count(*) as n from ld group by 1)
+dc as (select floor(distance / 20)::bigint as bin, round(avg(r2), 9) as mean_r2, count(*) as n from ld group by 1)
 """
 _KIN = _CELLS + """,
 c as (select pos, sample, floor(d * 10 + 0.5) as x from dos),
@@ -52,7 +53,7 @@ s as (select pos, count(*) as n, avg(x) as mu from c group by all),
 k as (select pos, mu, mu / 10 as f from s where 1 - n / 25.0 <= 0.6 and least(mu / 10, 1 - mu / 10) >= 0.05),
 z as (select k.pos, axis.sample, coalesce(x, mu) - mu as z from k cross join axis left join c on c.pos = k.pos and c.sample = axis.sample),
 w as (select sum(10 * f * (1 - f)) + 1e-10 as scale from k),
-kin as (select a.sample::bigint as i, b.sample::bigint as j, round(sum(a.z * b.z) / (select scale from w), 6) as value from z a join z b on a.pos = b.pos and a.sample <= b.sample group by a.sample, b.sample)
+kin as (select a.sample::bigint as i, b.sample::bigint as j, round(sum(a.z * b.z) / (select scale from w), 9) as value from z a join z b on a.pos = b.pos and a.sample <= b.sample group by a.sample, b.sample)
 """
 _V = "with v as (select row_id, any_value(vcf_id) as vcf_id, any_value(chrom) as chrom, any_value(pos) as pos, any_value(ref_allele) as r, any_value(alt_allele) as a from variants group by row_id)\n"
 _GT = """with g as (select call_id, any_value(row_id) as row_id, any_value(sample_id) as sample_id, any_value(gt) as gt from vcf_calls group by call_id),
@@ -71,9 +72,9 @@ i as (select doc_id, list_sum([case when s[q] = t[q] then 1 else 0 end for q in
 """
 
 SQL = {
-    "site_missingness_maf_eh": _CELLS + _stats(0) + "select chrom, pos, round(missing, 6) as missing, round(maf, 6) as maf, round(eh, 6) as eh from st",
-    "top_n_eh": _CELLS + _stats(0) + "select chrom, pos, round(eh, 6) as eh from st where eh is not null order by round(eh, 6) desc, pos limit 100",
-    "site_filter_chain": _CELLS + _stats(20) + "select chrom, pos, round(missing, 6) as missing, round(maf, 6) as maf, round(eh, 6) as eh from st where missing <= 0.6 and maf >= 0.05 and eh >= 0.2",
+    "site_missingness_maf_eh": _CELLS + _stats(0) + "select chrom, pos, round(missing, 9) as missing, round(maf, 9) as maf, round(eh, 9) as eh from st",
+    "top_n_eh": _CELLS + _stats(0) + "select chrom, pos, round(eh, 9) as eh from st where eh is not null order by round(eh, 9) desc, pos limit 100",
+    "site_filter_chain": _CELLS + _stats(20) + "select chrom, pos, round(missing, 9) as missing, round(maf, 9) as maf, round(eh, 9) as eh from st where missing <= 0.6 and maf >= 0.05 and eh >= 0.2",
     "maf_histogram": _histogram("maf", 50),
     "eh_histogram": _histogram("eh", 10),
     "missing_histogram": _histogram("missing", 10),
@@ -81,22 +82,22 @@ SQL = {
 u as (select count(*) as s, sum(2 * ((t - a) / t) * (a / t) * t / (t - 1)) as pi, round(avg(t))::bigint as n from cnt),
 q as (select *, (select sum(1.0 / x) from range(1, n) r(x)) as a1, (select sum(1.0 / (x * x)) from range(1, n) r(x)) as a2 from u),
 e as (select *, ((n + 1.0) / (3 * (n - 1)) - 1 / a1) / a1 as e1, (2 * (n * n + n + 3.0) / (9.0 * n * (n - 1)) - (n + 2) / (a1 * n) + a2 / (a1 * a1)) / (a1 * a1 + a2) as e2 from q)
-select s, round(pi, 6) as pi, n, round(s / a1, 6) as theta, round((pi - s / a1) / sqrt(e1 * s + e2 * s * (s - 1)), 6) as d from e""",
+select s, round(pi, 9) as pi, n, round(s / a1, 9) as theta, round((pi - s / a1) / sqrt(e1 * s + e2 * s * (s - 1)), 9) as d from e""",
     "fst_pairwise": _POPS + """,
 q as (select site, sum(a) / sum(n) as q from bp group by all),
 m as (select x.pop as pop1, y.pop as pop2, avg(2 * q * (1 - q)) as ht, avg((2 * (x.a / x.n) * (1 - x.a / x.n) + 2 * (y.a / y.n) * (1 - y.a / y.n)) / 2) as hs from bp x join bp y on x.site = y.site and x.pop < y.pop join q on q.site = x.site group by all)
-select pop1, pop2, round(ht, 6) as ht, round(hs, 6) as hs, round((ht - hs) / ht, 6) as fst from m""",
+select pop1, pop2, round(ht, 9) as ht, round(hs, 9) as hs, round((ht - hs) / ht, 9) as fst from m""",
     "fst_clusters": _POPS + """,
 m as (select site, 2 * (sum(a) / sum(n)) * (1 - sum(a) / sum(n)) as ht, sum(2 * (a / n) * (1 - a / n) * n) / sum(n) as hs from bp group by all)
-select site, round(case when ht < 1e-4 then 0 else (ht - hs) / ht end, 6) as fst from m""",
-    "dosage_matrix_round": _ROUND + f"select g.pos, g.sample::bigint as sample, round(d, 6) as d from {_GRID} g left join rd using (pos, sample)",
+select site, round(case when ht < 1e-4 then 0 else (ht - hs) / ht end, 9) as fst from m""",
+    "dosage_matrix_round": _ROUND + f"select g.pos, g.sample::bigint as sample, round(d, 9) as d from {_GRID} g left join rd using (pos, sample)",
     "dosage_mode_impute": _ROUND + f""", n as (select pos, d, count(*) as n from rd group by all), mo as (select pos, arg_min(d, struct_pack(a := -n, b := d)) as mo from n group by pos)
-select g.pos, g.sample::bigint as sample, round(coalesce(d, mo), 6) as d from {_GRID} g left join rd using (pos, sample) left join mo using (pos)""",
-    "dosage_mean_impute": _CELLS + f", me as (select pos, round_even(avg(d), 6) as me from dos group by pos)\nselect g.pos, g.sample::bigint as sample, round(coalesce(d, me), 6) as d from {_GRID} g left join dos using (pos, sample) left join me using (pos)",
+select g.pos, g.sample::bigint as sample, round(coalesce(d, mo), 9) as d from {_GRID} g left join rd using (pos, sample) left join mo using (pos)""",
+    "dosage_mean_impute": _CELLS + f", me as (select pos, round_even(avg(d), 6) as me from dos group by pos)\nselect g.pos, g.sample::bigint as sample, round(coalesce(d, me), 9) as d from {_GRID} g left join dos using (pos, sample) left join me using (pos)",
     "dist_manhattan": _distance("avg(abs(a.d - b.d))"),
     "dist_euclidean": _distance("sqrt(avg((a.d - b.d) * (a.d - b.d)))"),
     "dist_nei": _distance("-ln(greatest(case when sum(a.d * a.d) > 0 and sum(b.d * b.d) > 0 then sum(a.d * b.d) / sqrt(sum(a.d * a.d) * sum(b.d * b.d)) else 0 end, 1e-10))"),
-    "ld_pairs": _LD + "select chrom, pos1, pos2, distance, round(r2, 6) as r2 from ld",
+    "ld_pairs": _LD + "select chrom, pos1, pos2, distance, round(r2, 9) as r2 from ld",
     "ld_decay_bins": _LD + "select * from dc",
     "ld_half_decay": _LD + "select max(mean_r2) as max_r2, min(bin) filter (mean_r2 <= (select max(mean_r2) from dc) / 2) as half_bin from dc",
     "haplotype_windows": _CELLS + ", w as (select chrom, pos, (row_number() over (partition by chrom order by pos) - 1) // 5 as block from every)\nselect chrom, block, min(pos) as \"start\", max(pos) as \"end\", count(*) as n from w group by all",
@@ -111,15 +112,15 @@ select count(*) as variants, count(*) filter (len(r) = 1 and len(a1) = 1) as snp
     "marker_ids": _V + """select row_id, case when vcf_id is null or vcf_id = '.' then chrom || ':' || pos else vcf_id end as marker,
  regexp_replace(regexp_replace(regexp_replace(lower(trim(chrom)), '^(chromosome|chr)', ''), '^[_-]', ''), '^0+(.)', '\\1') as key_a,
  regexp_replace(regexp_replace(regexp_replace(lower(trim(chrom)), '^(chromosome|chr|contig|scaffold)_?', ''), '[^a-z0-9]', '', 'g'), '^0+(.)', '\\1') as key_b from v""",
-    "sample_call_summary": _GT + "select sample_id, count(*) as calls, count(*) filter (z = 'missing') as missing, count(*) filter (z = 'het') as het, count(*) filter (z = 'hom_ref') as hom_ref, count(*) filter (z = 'hom_alt') as hom_alt, round(case when count(*) filter (z <> 'missing') > 0 then count(*) filter (z = 'het') / count(*) filter (z <> 'missing') end, 6) as obs_het from zy group by sample_id",
+    "sample_call_summary": _GT + "select sample_id, count(*) as calls, count(*) filter (z = 'missing') as missing, count(*) filter (z = 'het') as het, count(*) filter (z = 'hom_ref') as hom_ref, count(*) filter (z = 'hom_alt') as hom_alt, round(case when count(*) filter (z <> 'missing') > 0 then count(*) filter (z = 'het') / count(*) filter (z <> 'missing') end, 9) as obs_het from zy group by sample_id",
     "sample_inbreeding": _GT + """, c as (select row_id, u.a, count(*) as n from (select row_id, unnest(al) as a from zy) u group by all),
 e as (select avg(eh) as eh from (select row_id, 1 - sum(n * n)::double / (sum(n)::double * sum(n)::double) as eh from c group by row_id)),
 o as (select sample_id, case when count(*) filter (z <> 'missing') > 0 then count(*) filter (z = 'het') / count(*) filter (z <> 'missing') end as oh from zy group by sample_id)
-select sample_id, round(1 - oh / eh, 6) as f from o cross join e""",
+select sample_id, round(1 - oh / eh, 9) as f from o cross join e""",
     "hwe_counts": _GT + """, k as (select row_id, len([x for x in al if x = '1']) as k from zy where len(al) = 2 and len([x for x in al if x not in ('0', '1')]) = 0),
 n as (select row_id, count(*) filter (k = 0) as n0, count(*) filter (k = 1) as n1, count(*) filter (k = 2) as n2, count(*)::double as n from k group by row_id having count(*) >= 5),
 p as (select *, (2 * n0 + n1) / (2 * n) as p from n)
-select row_id, n0, n1, n2, round(case when 2 * p * (1 - p) * n > 0 then (n1 - 2 * p * (1 - p) * n) * (n1 - 2 * p * (1 - p) * n) / (2 * p * (1 - p) * n) end, 6) as chi2 from p""",
+select row_id, n0, n1, n2, round(case when 2 * p * (1 - p) * n > 0 then (n1 - 2 * p * (1 - p) * n) * (n1 - 2 * p * (1 - p) * n) / (2 * p * (1 - p) * n) end, 9) as chi2 from p""",
     "merge_full_outer": _CELLS + """,
 c as (select chrom, pos, sample, ref_d::bigint || ',' || alt_d::bigint as call from cells),
 f as (select * from c where sample < 15 and pos % 3 <> 0), s as (select * from c where sample >= 10 and pos % 5 <> 0),
@@ -134,7 +135,7 @@ select hit_id, rank, round(min(least(1, p * m / rank)) over (partition by trait
 select trait || '|' || marker_id as marker, hit_id, aic, p from r where k = 1""",
     "qq_ranks": _HITS + """, b as (select *, row_number() over (partition by marker_id order by aic nulls first, p, model, hit_id) as k from h),
 r as (select hit_id, p, row_number() over (order by p, marker_id) as rank from b where k = 1)
-select hit_id, rank, round(-log10(rank / (select count(*) from h)), 6) as expected, round(-log10(p), 6) as observed from r""",
+select hit_id, rank, round(-log10(rank / (select count(*) from h)), 9) as expected, round(-log10(p), 9) as observed from r""",
     "chrom_offsets": _HITS + """, c as (select chrom, max(pos) as max_pos, regexp_matches(lower(chrom), '^(chr|ch|[0-9])') as main, coalesce(try_cast(regexp_replace(chrom, '[^0-9]', '', 'g') as bigint), 1099511627776) as num from h where chrom is not null group by chrom)
 select chrom, max_pos, coalesce(sum(max_pos + 5000000) over (order by num, chrom rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from c where main
 union all select chrom, max_pos, (select coalesce(sum(max_pos + 5000000), 0) from c where main)::bigint from c where not main""",
@@ -155,11 +156,11 @@ n as (select floor((ks - 0.01::double) / 0.05::double)::bigint as bin, count(*)
 e as (select b.bin, coalesce(n, 0) as n from (select unnest(range(60)) as bin) b left join n using (bin)),
 s as (select *, avg(n) over (order by bin rows between 1 preceding and 1 following) as smooth from e),
 p as (select *, lag(smooth) over (order by bin) as a, lead(smooth) over (order by bin) as b, max(smooth) over () as top from s)
-select bin, n, round(smooth, 6) as smooth, coalesce(smooth > a and smooth > b and smooth >= top * 0.01, false) as peak, round((0.01::double + (bin + 0.5::double) * 0.05::double) / (2 * 6.96e-9) / 1e6, 3) as mya from p""",
-    "chrom_pair_mean_ks": _GENES + "select a.chrom as chrom1, b.chrom as chrom2, round(avg((k + 0.5) / 100), 6) as mean_ks, count(*) as n from ln join genes a on a.gene_id = gene1 join genes b on b.gene_id = gene2 where (k + 0.5) / 100 > 0.01 and (k + 0.5) / 100 < 3 group by all",
+select bin, n, round(smooth, 9) as smooth, coalesce(smooth > a and smooth > b and smooth >= top * 0.01, false) as peak, round((0.01::double + (bin + 0.5::double) * 0.05::double) / (2 * 6.96e-9) / 1e6, 3) as mya from p""",
+    "chrom_pair_mean_ks": _GENES + "select a.chrom as chrom1, b.chrom as chrom2, round(avg((k + 0.5) / 100), 9) as mean_ks, count(*) as n from ln join genes a on a.gene_id = gene1 join genes b on b.gene_id = gene2 where (k + 0.5) / 100 > 0.01 and (k + 0.5) / 100 < 3 group by all",
     "go_term_counts": "select term, count(distinct p_partkey) as n from (select p_partkey, unnest(string_split(p_type, ' ')) as term from part) group by term",
     "forward_fill_blocks": "select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as block_id from events",
-    "gc_content": _BASES + "select doc_id, round(case when len(s) > 0 then len(regexp_replace(s, '[^GC]', '', 'g')) / len(s) end, 6) as gc, len(s) as n from b",
+    "gc_content": _BASES + "select doc_id, round(case when len(s) > 0 then len(regexp_replace(s, '[^GC]', '', 'g')) / len(s) end, 9) as gc, len(s) as n from b",
     "codon_translate": _BASES + """select doc_id, list_aggregate([substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', (16 * (instr('TCAG', c[1]) - 1) + 4 * (instr('TCAG', c[2]) - 1) + instr('TCAG', c[3]))::int, 1) for c in regexp_extract_all(s, '...')], 'string_agg', '') as protein from b""",
-    "jukes_cantor": _NEXT + "select doc_id, round(identity, 6) as identity, round(case when 1 - identity >= 0.75 then 3.0 else -0.75 * ln(1 - 4 * (1 - identity) / 3) end, 6) as distance from i",
+    "jukes_cantor": _NEXT + "select doc_id, round(identity, 9) as identity, round(case when 1 - identity >= 0.75 then 3.0 else -0.75 * ln(1 - 4 * (1 - identity) / 3) end, 9) as distance from i",
 }
