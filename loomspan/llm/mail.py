@@ -140,10 +140,18 @@ def _paragraphs(text: str) -> list[tuple[list[str], int]]:
 
 
 def _own_lines(lines: list[str]) -> list[str]:
-    """The lines that aren't quotes, attributions or a rule."""
+    """The lines that aren't quotes, attributions or a rule.
+
+    A line without a prefix is a quote's, too, if a quoted one follows in its paragraph, or the one before it
+    breaks off within a sentence."""
+    quoted = [(">" in x or "|" in x) and bool(_QUOTED.match(x)) for x in lines]
+    last = max((i for i, q in enumerate(quoted) if q), default=-1)
     out = []
-    for x in lines:
-        if (">" in x or "|" in x) and _QUOTED.match(x):
+    for i, x in enumerate(lines):
+        if i <= last and (quoted[i] or any(quoted[:i])):
+            continue
+        if last >= 0 and i == last + 1 and lines[last].rstrip()[-1:] not in (".", "?", "!", ":", ">", "|"):
+            last = i
             continue
         if x.rstrip().endswith(":") and _WROTE.search(x):
             continue
@@ -160,8 +168,8 @@ def _signs(lines: list[str], name: str) -> bool:
 def own_paragraphs(text: str, author: str = "") -> list[str]:
     """The paragraphs of a body that its author wrote in this message, each in one line.
 
-    Lines with a quote's prefix and the attributions before them go, as do legal notices and what follows `-- `
-    in a paragraph. A forward that begins with a mark and fields lasts to the end if the author has signed, or
+    Lines with a quote's prefix and the attributions before them go, as do legal notices and whatever follows
+    the author's sign-off or `-- `. A forward that begins with a mark and fields lasts to the end if the author
     has written and doesn't sign later; else to the sign-off of the person it is from, to two blank lines, to
     another greeting, or over one paragraph, the first of these that there is."""
     blocks = _paragraphs(text)
@@ -177,6 +185,8 @@ def own_paragraphs(text: str, author: str = "") -> list[str]:
             signed = signed or end is not None or _signs(kept, author)
             if kept[:end]:
                 out.append(" ".join(kept[:end]))
+        if signed:
+            break
         if mark is None:
             continue
         fields = [x for x in lines[mark + 1 :] if _FIELD.match(x)]
@@ -184,7 +194,7 @@ def own_paragraphs(text: str, author: str = "") -> list[str]:
         wrote = any(not _GREET.match(x) for x in out)
         later = [_own_lines(x) for x, _ in blocks[k:]]
         mine = [i for i, x in enumerate(later) if _signs(x, author)]
-        if signed or (wrote and not mine):
+        if wrote and not mine:
             break
         theirs = [i for i, x in enumerate(later) if sender != author and _signs(x, sender) and (not mine or i < mine[-1])]
         if theirs:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, small
+from ..runtime import cut, release, small
 from .mail import own_sentences
 
 #: Most terms (the commonest) and the sentences that a term must be in; dimensions of the space.
@@ -66,8 +66,7 @@ class Model:
         flat, row, w = flat[keep], row[keep], w[keep]
         x = _sums(self.space[flat] * w[:, None], row, n)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
-        pairs = np.unique(row.astype(np.int64) * len(self.weight) + flat)
-        return x / np.maximum(norm, 1e-9), np.bincount(pairs // len(self.weight), minlength=n)
+        return x / np.maximum(norm, 1e-9), np.bincount(row, minlength=n)
 
     def assign(self, flat: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each sentence the centroid that it is assigned to, or -1; and the unit vectors."""
@@ -159,7 +158,9 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
             said_here = pc.list_flatten(batch.column(2))
             ids, row = pc.index_in(pc.list_flatten(said_here), terms), pc.list_parent_indices(said_here)
             here = pc.is_valid(ids)
-            ids, row = ids.filter(here), np.asarray(row.filter(here))
+            # a term counts once in a sentence
+            both = np.unique(np.asarray(row.filter(here)).astype(np.int64) * len(terms) + np.asarray(ids.filter(here)))
+            ids, row = pa.array((both % len(terms)).astype(np.int32)), both // len(terms)
             offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(said_here))))).astype(np.int32)
             per_doc = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(batch.column(2)))))).astype(np.int32)
             nested = pa.ListArray.from_arrays(pa.array(per_doc), pa.ListArray.from_arrays(pa.array(offsets), ids))
@@ -183,20 +184,22 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
     model = Model(np.zeros(v, np.float32), np.zeros((v, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, int))
     for round_ in range(ROUNDS):
         weight = _weights(counts, frequency, n)
+        heavy = cut(table.select("lang", "labels", "ids").mapInArrow(_bearing(weight), "lang string, labels array<int>, ids array<array<int>>"))
         space = np.linalg.qr(rng.normal(size=(v, min(DIMENSIONS, v))) * (weight >= BEARING)[:, None])[0].astype(np.float32) if round_ == 0 else model.space
         for _ in range(PASSES):
-            space = np.linalg.qr(_gathered(table, ["ids"], _product(weight, space), v, space.shape[1]))[0].astype(np.float32)
+            space = np.linalg.qr(_gathered(heavy, ["ids"], _product(weight, space), v, space.shape[1]))[0].astype(np.float32)
         blank = Model(weight, space, np.zeros((0, space.shape[1]), np.float32), np.zeros(0, int))
         if round_ == 0:
-            sums = _gathered(marked, ["ids", "lang", "labels"], _seed_sums(blank, tongue, s), s * len(langs), space.shape[1])
+            sums = _gathered(heavy.filter(F.col("labels").isNotNull()), ["ids", "lang", "labels"], _seed_sums(blank, tongue, s), s * len(langs), space.shape[1])
             model = _centred(blank, sums, len(langs))
         else:
             # the old space's assignment carries over: its centroids are sums of sentences, made anew in this one
             sums = _gathered(table, ["ids", "lang"], _assigned_sums(model, blank, tongue), s * len(langs), space.shape[1])
             model = _centred(blank, sums, len(langs))
         for _ in range(REFINEMENTS):
-            model = _centred(model, _gathered(table, ["ids", "lang"], _assigned_sums(model, model, tongue), s * len(langs), space.shape[1]), len(langs))
+            model = _centred(model, _gathered(heavy, ["ids", "lang"], _assigned_sums(model, model, tongue), s * len(langs), space.shape[1]), len(langs))
         if round_ < ROUNDS - 1:
+            release(heavy)
             counts = _gathered(table, ["ids"], _term_counts(model), v, s)  # by what else is said in the same document
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +229,23 @@ def _count(total: np.ndarray, flat: np.ndarray, shares: np.ndarray) -> None:
         total[:, m] += np.bincount(flat, shares[:, m], minlength=len(total))
 
 
+def _bearing(weight: np.ndarray) -> object:
+    """Documents (lang, labels, ids) with none but their bearing terms, without the sentences that have too few of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, row, of_doc = _tokens(batch.column(2))
+            keep = weight[flat] >= BEARING
+            n = np.bincount(row[keep], minlength=len(of_doc))
+            said = n >= LEAST_TERMS
+            keep &= said[row]
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[said]))).astype(np.int32)), pa.array(flat[keep]))
+            outer = np.concatenate(([0], np.cumsum(np.bincount(of_doc[said], minlength=batch.num_rows)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(outer), inner)], names=["lang", "labels", "ids"])
+
+    return run
+
+
 def _product(weight: np.ndarray, space: np.ndarray) -> object:
     """Adds X'X space, X the weighted sentence-term matrix."""
 
