@@ -134,7 +134,7 @@ def read_collinearity(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         # a file is one ordered sequence; its blocks' headers are few, so the window is over the marks of one file
         filled = marks.withColumn("h", F.when(head != "", F.col("value"))).withColumn("h", F.last("h", ignorenulls=True).over(W.Window.partitionBy("file").orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, 0)))
         body = filled.filter(~F.col("value").startswith("##") & F.col("h").isNotNull())
-        parts = F.split(F.trim(F.regexp_replace("value", r"^[^:]*:", "")), r"\s+")
+        parts = F.split(F.regexp_replace("value", r"^[^:]*:\s*|\s+$", ""), r"\s+")
         rows = body.select(F.regexp_extract("h", r"Alignment (\d+):", 1).alias("block_id"), "line_no", _AT(parts, 0).alias("gene1"), _AT(parts, 1).alias("gene2"), F.regexp_extract("h", r"score=(\S+)", 1).try_cast("double").alias("score"), _AT(parts, 2).try_cast("double").alias("e_value"), F.when(F.col("h").contains("minus"), "minus").otherwise("plus").alias("o"))
     if "o" not in rows.columns:
         rows = rows.withColumn("o", F.lit("plus"))
