@@ -118,8 +118,8 @@ def _merge_rounds(edges: DataFrame, nodes: DataFrame, missing: str, least: float
         merged = cut(best.groupBy("part", F.col("o.a").alias("a"), F.col("o.b").alias("b")).agg(F.count(F.lit(1)).alias("k")).filter("k = 2").select("part", "a", "b"))
         if merged.isEmpty():
             return label.select("part", "node", "cluster")
-        move = merged.select("part", F.col("b").alias("old"), F.col("a").alias("new"))
-        at = lambda df, c: df.join(small(move), (df["part"] == move["part"]) & (df[c] == move["old"]), "left").select(*(df[x] if x != c else F.coalesce(move["new"], df[c]).alias(c) for x in df.columns))
+        move = merged.select(F.col("part").alias("__part"), F.col("b").alias("__old"), F.col("a").alias("__new"))
+        at = lambda df, c: df.join(small(move), (F.col("part") == F.col("__part")) & (F.col(c) == F.col("__old")), "left").withColumn(c, F.coalesce("__new", c)).drop("__part", "__old", "__new")
         moved = at(at(edges, "a"), "b").filter("a <> b").select("part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", "s")
         new_edges, new_label = cut(moved.groupBy("part", "a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))), cut(at(label, "cluster"))
         for old in (edges, label, merged):

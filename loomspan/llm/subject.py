@@ -177,7 +177,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
         _count(total, flat, _label_shares(batch.column(1), s)[of_doc][row])
 
     marked = table.filter(F.col("labels").isNotNull())
-    counts = _gathered(marked, ["ids", "labels"], seen_with_labels, v, s)
+    said_by_labels = counts = _gathered(marked, ["ids", "labels"], seen_with_labels, v, s)
     if not counts.any():
         return none
     rng = np.random.default_rng(5)
@@ -200,7 +200,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
             model = _centred(model, _gathered(heavy, ["ids", "lang"], _assigned_sums(model, model, tongue), s * len(langs), space.shape[1]), len(langs))
         if round_ < ROUNDS - 1:
             release(heavy)
-            counts = _gathered(table, ["ids"], _term_counts(model), v, s)  # by what else is said in the same document
+            counts = said_by_labels + _gathered(table, ["ids"], _term_counts(model), v, s)  # by what else is said in the same document
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(subjects)
