@@ -46,8 +46,8 @@ def report(pairs: DataFrame, genes1: DataFrame, genes2: DataFrame, kaks: DataFra
 
 
 def block_boxes(placed: DataFrame) -> DataFrame:
-    """(block_id, chrom, start, end) of (block_id, ord, chrom, start, end): the box of a block's genes, on the chromosome of its last one."""
-    return placed.filter(F.col("chrom").isNotNull()).groupBy("block_id").agg(F.max_by("chrom", "ord").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"))
+    """(block_id, chrom, start, end) of (block_id, ord, chrom, start, end): the box of a block's genes, on the chromosome of its last one (of equals, the one that lies farthest)."""
+    return placed.filter(F.col("chrom").isNotNull()).groupBy("block_id").agg(F.max_by("chrom", F.struct("ord", "start", "end", "chrom")).alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def snp_density(boxes: list[DataFrame], snps: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ union all select chrom, max_pos, (select coalesce(sum(max_pos + 5000000), 0) fro
 r as (select 'Syntenic' as status, a.chrom as chrom1, b.chrom as chrom2 from l left join genes a on a.gene_id = l.gene1 and a.odd = 0 left join genes b on b.gene_id = l.gene2 and b.odd = 1
 union all select 'Orphan_G1', chrom, null from genes where odd = 0 and gene_id not in (select gene1 from l) union all select 'Orphan_G2', null, chrom from genes where odd = 1 and gene_id not in (select gene2 from l))
 select status, chrom1, chrom2, count(*) as n from r group by all""",
-    "block_bounding_box": _GENES + "select block_id, arg_max(chrom, ord) as chrom, min(\"start\") as \"start\", max(\"end\") as \"end\" from ln join genes on gene_id = gene1 group by block_id",
+    "block_bounding_box": _GENES + "select block_id, arg_max(chrom, row(ord, \"start\", \"end\", chrom)) as chrom, min(\"start\") as \"start\", max(\"end\") as \"end\" from ln join genes on gene_id = gene1 group by block_id",
     "interval_overlap_semi": _GENES + ", sv as (select p_brand as chrom, p_partkey * 10 - 60 as s, p_partkey * 10 + 60 as e from part where p_size > 45)\nselect gene_id from genes where odd = 0 and exists (select 1 from sv where sv.chrom = genes.chrom and sv.s <= genes.\"end\" and sv.e >= genes.\"start\")",
     "snp_in_interval_count": _GENES + "select gene_id, count(*) as n from genes join part on p_brand = chrom and p_partkey * 10 between \"start\" - 500 and \"end\" + 500 where odd = 0 group by gene_id",
     "window_gene_join": _GENES + """, m as (select 'm' || p_partkey as marker, p_brand as chrom, p_partkey * 10 + 3 as pos from part where p_size <= 10)
@@ -161,6 +161,6 @@ select bin, n, round(smooth, 9) as smooth, coalesce(smooth > a and smooth > b an
     "go_term_counts": "select term, count(distinct p_partkey) as n from (select p_partkey, unnest(string_split(p_type, ' ')) as term from part) group by term",
     "forward_fill_blocks": "select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as block_id from events",
     "gc_content": _BASES + "select doc_id, round(case when len(s) > 0 then len(regexp_replace(s, '[^GC]', '', 'g')) / len(s) end, 9) as gc, len(s) as n from b",
-    "codon_translate": _BASES + """select doc_id, list_aggregate([substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', (16 * (instr('TCAG', c[1]) - 1) + 4 * (instr('TCAG', c[2]) - 1) + instr('TCAG', c[3]))::int, 1) for c in regexp_extract_all(s, '...')], 'string_agg', '') as protein from b""",
-    "jukes_cantor": _NEXT + "select doc_id, round(identity, 9) as identity, round(case when 1 - identity >= 0.75 then 3.0 else -0.75 * ln(1 - 4 * (1 - identity) / 3) end, 9) as distance from i",
+    "codon_translate": _BASES + """select doc_id, coalesce(list_aggregate([substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', (16 * (instr('TCAG', c[1]) - 1) + 4 * (instr('TCAG', c[2]) - 1) + instr('TCAG', c[3]))::int, 1) for c in regexp_extract_all(s, '...')], 'string_agg', ''), '') as protein from b""",
+    "jukes_cantor": _NEXT + "select doc_id, round(identity, 9) as identity, round(case when 1 - identity >= 0.75 then 3.0 else -0.75 * ln(1 - 4 * (1 - identity) / 3) + 0.0 end, 9) as distance from i",
 }
