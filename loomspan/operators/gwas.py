@@ -8,13 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.kernels import f_sf, t_sf2
-from .structure import _filled, _gram
+from .fill import dense
+from .structure import _filled
 
 MODELS = ("ADDITIVE", "SIMPLEX", "DUPLEX", "TRIPLEX", "SIMPLEX_REF", "DUPLEX_REF", "TRIPLEX_REF", "GENERAL")
 #: Markers of a chromosome below which it shares a group with the others like it.
@@ -97,6 +99,38 @@ def test_marker(null: Null, x: np.ndarray) -> tuple[float, float, float, float]:
     return f_sf(f, df, n - q - df), float(b1[q]), float(max(0.0, 1 - r1 / max(r0, 1e-300))), n * math.log(max(r1, 1e-300) / n) + 2 * (q + df + 1)
 
 
+def test_markers(null: Null, d: np.ndarray, model: str, ploidy: int) -> tuple[np.ndarray, ...]:
+    """test_marker for all rows of d: models of one predictor at once, by regression on what the covariates leave; p is 1 where nothing varies."""
+    m = len(d)
+    out = np.ones(m), np.zeros(m), np.zeros(m), np.zeros(m)
+    if model == "GENERAL":
+        for i in range(m):
+            z = recode(d[i], model, ploidy)
+            if z is not None:
+                for o, v in zip(out, test_marker(null, z)):
+                    o[i] = v
+        return out
+    k = {"SIMPLEX": 1, "DUPLEX": 2, "TRIPLEX": 3}.get(model.split("_")[0], 0)
+    z = d if model == "ADDITIVE" else ((d <= ploidy - k) if model.endswith("_REF") else (d >= k)).astype(float)
+    s = np.sqrt(null.w)
+    q, _ = np.linalg.qr(s[:, None] * null.x)
+    y = s * null.y
+    y = y - q @ (q.T @ y)
+    w = (z @ null.u) * s
+    left = w - (w @ q) @ q.T
+    zz, zy, r0 = (left * left).sum(1), left @ y, float(y @ y)
+    n, c = null.x.shape
+    ok = np.flatnonzero((np.ptp(z, axis=1) > 1e-12) & (zz > 1e-10 * (w * w).sum(1))) if n - c - 1 > 0 and m else np.zeros(0, int)
+    gain = np.minimum(zy[ok] ** 2 / zz[ok], r0)
+    r1 = np.maximum(r0 - gain, 1e-300)
+    f = gain / (r1 / (n - c - 1))
+    out[0][ok] = [f_sf(v, 1, n - c - 1) for v in f]
+    out[1][ok] = zy[ok] / zz[ok]
+    out[2][ok] = np.maximum(0, 1 - r1 / max(r0, 1e-300))
+    out[3][ok] = n * np.log(r1 / n) + 2 * (c + 2)
+    return out
+
+
 def markers(sites: DataFrame, ploidy: int, maf: float = 0.05, max_missing: float = 0.1) -> DataFrame:
     """The sites that are tested; d counts copies."""
     held = F.filter("d", lambda x: x.isNotNull())
@@ -112,22 +146,34 @@ def loco_groups(sites: DataFrame) -> DataFrame:
 
 def loco_kinships(sites: DataFrame, ploidy: int) -> dict[str, np.ndarray]:
     """The kinship without each group, from one pass: the sums of a group are taken from those of all."""
-    groups = [r.grp for r in sites.select("grp").distinct().orderBy("grp").limit(1000).collect()]
     n = sites.agg(F.max(F.size("d"))).first()[0]
 
-    def kernel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = _filled(x)
-        f = x.mean(1, keepdims=True) / ploidy
-        z = x - ploidy * f
-        return z.T @ z, np.array([(ploidy * f * (1 - f)).sum()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x, of = dense(batch.column(1)), np.array(batch.column(0).to_pylist())
+            for g in set(of.tolist()):
+                y = _filled(x[of == g])
+                f = y.mean(1, keepdims=True) / ploidy
+                z = y - ploidy * f
+                sums = np.concatenate(((z.T @ z).ravel(), [(ploidy * f * (1 - f)).sum()]))
+                held[g] = held.get(g, 0) + sums
+        for g, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([sums.tobytes()])], names=["grp", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"grp": [pdf.grp.iloc[0]], "sums": [sum(np.frombuffer(x) for x in pdf.sums).tobytes()]})
 
-    parts = {g: _gram(sites.filter(F.col("grp") == g), kernel, n) for g in groups}
-    total, scale = sum(p[0] for p in parts.values()), sum(p[1][0] for p in parts.values())
-    return {g: (total - p[0]) / (scale - p[1][0] + 1e-10) for g, p in parts.items()}
+    rows = sites.select("grp", "d").mapInArrow(run, "grp string, sums binary").groupBy("grp").applyInPandas(add, "grp string, sums binary").collect()
+    parts = {r.grp: np.frombuffer(r.sums) for r in rows}  # samples by samples for each chromosome
+    total = sum(parts.values())
+    return {g: ((total - p)[:-1] / ((total - p)[-1] + 1e-10)).reshape(n, n) for g, p in parts.items()}
 
 
 def impute_batch(x: np.ndarray, how: str = "mean", kin: np.ndarray | None = None, k: int = 5) -> np.ndarray:
     """Sites by samples without gaps: the site's mean, mode, or the mean of its k closest genotyped kin weighted by kinship + 1."""
+    if how == "mean":
+        return _filled(x)
     y = x.copy()
     for i in np.flatnonzero(np.isnan(x).any(1)):
         hole, held = np.isnan(x[i]), ~np.isnan(x[i])
@@ -159,22 +205,20 @@ def scan(sites: DataFrame, y: np.ndarray, kinship: np.ndarray | dict[str, np.nda
     kin = {g: k for g, k in per.items()}
     grouped = isinstance(kinship, dict)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            x = np.array([[np.nan if v is None else v for v in d] for d in pdf.d], float)
-            for i in range(len(pdf)):
-                g = pdf.grp.iloc[i] if grouped else ""
-                d = impute_batch(x[i : i + 1], impute, kin[g])[0][has]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dense(batch.column(3))
+            of = np.array(batch.column(4).to_pylist()) if grouped else np.zeros(len(x), "U1")
+            for g in np.unique(of):
+                at = np.flatnonzero(of == g)
+                d = impute_batch(x[at], impute, kin[g])[:, has]
                 for model in models:
-                    z = recode(d, model, ploidy)
-                    if z is not None:
-                        p, effect, r2, aic = test_marker(nulls[g], z)
-                        if p < 1:
-                            rows.append((pdf.marker.iloc[i], pdf.chrom.iloc[i], int(pdf.pos.iloc[i]), model, p, effect, r2, aic))
-            yield pd.DataFrame(rows, columns=["marker", "chrom", "pos", "model", "p", "effect", "r2", "aic"])
-
-    return sites.select("marker", "chrom", "pos", "d", *(["grp"] if grouped else [])).mapInPandas(run, HIT)
+                    p, effect, r2, aic = test_markers(nulls[g], d, model, ploidy)
+                    hit = np.flatnonzero(p < 1)
+                    own = batch.take(pa.array(at[hit]))
+                    yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array([model] * len(hit), pa.string()), *(pa.array(v[hit]) for v in (p, effect, r2, aic))], names=["marker", "chrom", "pos", "model", "p", "effect", "r2", "aic"])
+
+    return sites.select("marker", "chrom", "pos", "d", *(["grp"] if grouped else [])).mapInArrow(run, HIT)
 
 
 def fdr(hits: DataFrame, p: str = "p", by: list[str] | None = None, tie: str = "marker") -> DataFrame:

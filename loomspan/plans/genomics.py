@@ -10,7 +10,7 @@ from ..functions import calls as C
 from ..functions import names as N
 from ..functions import sequences as Q
 from ..operators import dosage, gwas, ld, merge, ranges, sites, structure, synteny
-from ..runtime import once_per, small, table
+from ..runtime import cut, once_per, small, table
 from . import genotype as G
 
 P = G.PLOIDY
@@ -78,7 +78,7 @@ def dosage_mean_impute(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dosage_knn_impute(spark: SparkSession, d: str) -> DataFrame:
-    s = dosage.round_levels(G.sites(spark, d), P)
+    s = cut(dosage.round_levels(G.sites(spark, d), P))
     return _long(dosage.impute(s, "knn", P, 5, dosage.genetic_distance(s)))
 
 
@@ -286,13 +286,14 @@ def _phenotype(spark: SparkSession, d: str) -> np.ndarray:
 
 def gwas_scan(spark: SparkSession, d: str) -> DataFrame:
     """Additive and simplex models over the view, without each chromosome's own kinship."""
-    s = gwas.loco_groups(gwas.markers(_copies(spark, d), P, 0.05, 0.6).select("marker", "chrom", "pos", "d"))
+    s = cut(gwas.markers(_copies(spark, d), P, 0.05, 0.6).select("marker", "chrom", "pos", "d"))  # read by each step
+    s = gwas.loco_groups(s)
     hits = gwas.scan(s, _phenotype(spark, d), gwas.loco_kinships(s, P), P, ("ADDITIVE", "SIMPLEX"))
     return gwas.fdr(hits, tie="marker").select("marker", "model", "p", "q", "effect", "r2", "aic")
 
 
 def epistasis(spark: SparkSession, d: str) -> DataFrame:
-    s = gwas.markers(_copies(spark, d), P, 0.05, 0.6).select("marker", "chrom", "pos", "d")
+    s = cut(gwas.markers(_copies(spark, d), P, 0.05, 0.6).select("marker", "chrom", "pos", "d"))
     y, k = _phenotype(spark, d), structure.kinship(s, P)
     leads = gwas.scan(s, y, k, P).orderBy("p", "marker").limit(5)
     return gwas.epistasis(s, leads, y, k, most=0.01)

@@ -165,6 +165,22 @@ def test_scan_finds_the_cause(spark):
     assert gwas.epistasis(s, hits.orderBy("p").limit(2), y, structure.kinship(s, 2), most=1.1).count() == 59 * hits.orderBy("p").limit(2).select("marker").distinct().count()
 
 
+def test_markers_at_once_as_one_by_one():
+    rng = np.random.default_rng(8)
+    x, y = np.round(rng.random((20, 30)) * 4), rng.normal(size=30)
+    x[3] = 2.0
+    k = np.cov(x.T) + np.eye(30) * 0.1
+    null = gwas.fit_null(k, y, gwas.design(30, fixed=[["a", "b", "c"] * 10]))
+    for model in gwas.MODELS:
+        p, effect, r2, aic = gwas.test_markers(null, x, model, 4)
+        for i in range(20):
+            z = gwas.recode(x[i], model, 4)
+            if z is None:
+                assert p[i] == 1
+            else:
+                assert (p[i], effect[i], r2[i], aic[i]) == pytest.approx(gwas.test_marker(null, z), rel=1e-6, abs=1e-9)
+
+
 def test_fdr_by_ranges_against_plain(spark):
     rng = np.random.default_rng(6)
     p = np.concatenate([rng.random(300), rng.random(50) * 1e-9, [0.5] * 5, [1e-310]])
