@@ -61,10 +61,9 @@ class Model:
 
     def embed(self, flat: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors of n sentences (0 for those without weight), and how many different bearing terms each has."""
-        w = self.weight[flat]
-        keep = w >= BEARING
-        flat, row, w = flat[keep], row[keep], w[keep]
-        x = _sums(self.space[flat] * w[:, None], row, n)
+        keep = self.weight[flat] >= BEARING
+        flat, row = flat[keep], row[keep]
+        x = _sums((self.space * self.weight[:, None])[flat], row, n)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return x / np.maximum(norm, 1e-9), np.bincount(row, minlength=n)
 
@@ -255,10 +254,10 @@ def _product(weight: np.ndarray, space: np.ndarray) -> object:
         flat, row = flat[keep], row[keep]
         if not len(flat):
             return
-        w = weight[flat][:, None]
-        y = _sums(space[flat] * w, row, len(of_doc))[row] * w
-        order = np.argsort(flat, kind="stable")
-        total += _sums(y[order], flat[order], len(weight))
+        y = _sums((space * weight[:, None])[flat], row, len(of_doc))
+        # a stable sort of 16-bit numbers is a radix sort; the vocabulary fits
+        order = np.argsort(flat.astype(np.uint16 if len(weight) < 1 << 16 else np.int32), kind="stable")
+        total += _sums(y[row[order]], flat[order], len(weight)) * weight[:, None]
 
     return kernel
 

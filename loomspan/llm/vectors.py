@@ -1,7 +1,7 @@
 """The most similar vectors of every vector: multi-index hashing over learned binary codes.
 
 A rotation learned on a bounded sample (principal axes, then iterative quantization) turns a vector into
-bits. The code is cut into substrings of about log2(rows) bits and each substring is indexed. Codes that
+bits. The code is cut into substrings of about log2(rows / 8) bits and each substring is indexed. Codes that
 differ in few bits agree, but for one bit, in one substring at least, so probing every substring and its
 one-bit neighbours finds them; what is near by all bits is ranked by its floats.
 """
@@ -28,6 +28,8 @@ SAMPLE_ROWS = 8192
 SPARSE = 0.1
 #: Share of a code's bits in which two candidates may differ.
 FLIPS = 0.33
+#: Rows that a bucket holds on average.
+BUCKET = 8
 #: Rows in one bucket from which it is searched in blocks.
 HOT_BUCKET = 4096
 _BLOCK = 2048
@@ -108,7 +110,7 @@ def similar_vectors(df: DataFrame, key: str, column: str, k: int = 5, max_distan
     out = T.StructType([T.StructField(c, base.schema["id"].dataType) for c in ("id_a", "id_b")] + [T.StructField("distance", T.DoubleType())])
     if not size.n:
         return df.sparkSession.createDataFrame([], out)
-    span = min(max(int(math.log2(size.n)), 8), 30)
+    span = min(max(int(math.log2(size.n / BUCKET)), 8), 30)
     words = math.ceil(4 * span / 64)
     sample = base.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("v").toArrow().column(0).combine_chunks()
     x = _fit(dense(sample), size.w)
@@ -119,14 +121,14 @@ def similar_vectors(df: DataFrame, key: str, column: str, k: int = 5, max_distan
     members = coded.select("id", "h")
     first = members.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = coded.join(first.filter("copies > 1").select(F.col("rep").alias("id_c"), F.col("h").alias("h_c")), F.col("h") == F.col("h_c"), "left").filter("id_c is null or id = id_c").drop("id_c", "h_c", "h")
-    near = _rank(_pairs(reps, span, size.w, k, max_distance, least, hot_bucket), k)
+    near = _rank(_pairs(reps, span, words, size.w, k, max_distance, least, hot_bucket), k)
     some = first.filter("copies > 1").limit(1)
     if some.isEmpty():
         return near.select("id_a", "id_b", "distance")
     return _expand(near, members, first, coded, k, least)
 
 
-def _pairs(reps: DataFrame, span: int, width: int, k: int, max_distance: float, least: int, hot_bucket: int) -> DataFrame:
+def _pairs(reps: DataFrame, span: int, words: int, width: int, k: int, max_distance: float, least: int, hot_bucket: int) -> DataFrame:
     """(id_a, id_b, distance) of the candidates, each pair once or, from hot buckets, perhaps in both directions."""
     each = 64 // span
     codes = reps.select("id", "code", "holes")
@@ -145,8 +147,9 @@ def _pairs(reps: DataFrame, span: int, width: int, k: int, max_distance: float,
     cold_index, cold_probes = index, probes
     if any_hot:
         cold_index, cold_probes = (t.join(small(hot.select("j", "key")), ["j", "key"], "left_anti") for t in (index, probes))
-    flips = F.aggregate(F.zip_with("code_a", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    limit = F.size("code") * int(64 * FLIPS)
+    word = lambda c, i: F.get(F.col(c), F.lit(i))
+    flips = sum((F.bit_count(word("code_a", i).bitwiseXOR(word("code", i))) for i in range(1, words)), F.bit_count(word("code_a", 0).bitwiseXOR(word("code", 0))))
+    limit = int(64 * words * FLIPS)
     # of two vectors that are probed alike, the one with the lesser id looks for the other
     found = cold_probes.join(cold_index, ["j", "key"]).filter(((F.col("id_a") < F.col("id")) | (F.col("deep") & (F.col("id_a") != F.col("id")))) & (flips <= limit))
     pairs = found.select(F.least("id_a", "id").alias("id_a"), F.greatest("id_a", "id").alias("id_b")).distinct()
