@@ -78,11 +78,20 @@ class Model:
 
 
 def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values' rows by `row`, which ascends."""
+    """Sums of the values' rows by `row`, which ascends: neighbours of one sum are added in pairs until each is one."""
     out = np.zeros((n, values.shape[1]), np.float32)
-    if len(row):
-        at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        out[row[at]] = np.add.reduceat(values, at, axis=0)
+    while len(row):
+        place = np.arange(len(row))
+        first = np.concatenate(([True], row[1:] != row[:-1]))
+        if first.all():
+            break
+        even = (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+        kept = np.flatnonzero(even)
+        paired = np.flatnonzero(~even[np.minimum(kept + 1, len(row) - 1)])
+        x = values[kept]
+        x[paired] += values[kept[paired] + 1]
+        values, row = x, row[kept]
+    out[row] = values
     return out
 
 
