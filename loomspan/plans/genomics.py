@@ -313,11 +313,11 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphans_anti(spark: SparkSession, d: str) -> DataFrame:
-    return synteny.orphans(_genes(spark, d, 0), _lines(spark, d).filter("k < 20"), "gene1").select("gene_id")
+    return synteny.orphans(_genes(spark, d, 0), _lines(spark, d), "gene1").select("gene_id")
 
 
 def synteny_report_counts(spark: SparkSession, d: str) -> DataFrame:
-    r = synteny.report(_lines(spark, d).filter("k < 20").withColumn("e_value", F.lit(0.0)), _genes(spark, d, 0), _genes(spark, d, 1))
+    r = synteny.report(_lines(spark, d).withColumn("e_value", F.lit(0.0)), _genes(spark, d, 0), _genes(spark, d, 1))
     return r.groupBy("status", "chrom1", "chrom2").agg(F.count(F.lit(1)).alias("n"))
 
 
