@@ -345,8 +345,8 @@ def snp_in_interval_count(spark: SparkSession, d: str) -> DataFrame:
 def window_gene_join(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.annotate import annotate
 
-    m = table(spark, d, "part").filter("p_size <= 10").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("marker"), F.col("p_brand").alias("chrom"), (F.col("p_partkey") * 10 + 3).alias("pos"))
-    out = annotate(m, [(_genes(spark, d, 0), "primary"), (_genes(spark, d, 1), "secondary")], 400)
+    m = table(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("marker"), F.col("p_brand").alias("chrom"), (F.col("p_partkey") * 10 + 3).alias("pos"))
+    out = annotate(m, [(_genes(spark, d, 0), "primary"), (_genes(spark, d, 1), "secondary")])
     return out.select("marker", F.col("g_gene_id").alias("gene_id"), "source", "distance")
 
 

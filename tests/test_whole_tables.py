@@ -25,3 +25,16 @@ def test_orphans_are_in_no_line(spark, tmp_path):
     assert [r.gene_id for r in genomics.orphans_anti(spark, d).collect()] == ["G6"]
     got = {r.status: r.n for r in genomics.synteny_report_counts(spark, d).groupBy("status").agg(F.sum("n").alias("n")).collect()}
     assert got == {"Syntenic": 5, "Orphan_G1": 1, "Orphan_G2": 2}  # G6; G1 and G7, as the second genes are G3, G5, G6, G9
+
+
+def test_every_marker_with_its_whole_window(spark, tmp_path):
+    d = _write(spark, tmp_path, part=_parts(1200, lambda k: f"B{k % 2}", lambda k: k % 50 + 1))
+    genes = [(k, k % 2, k * 10, k * 10 + k % 50 + 1) for k in range(1, 1201)]
+    want = set()
+    for k in range(1, 1201):
+        pos = k * 10 + 3
+        for g, brand, start, end in genes:
+            if brand == k % 2 and start <= pos + 5000 and end >= max(pos - 5000, 1):
+                want.add((f"m{k}", f"G{g}", "secondary" if g % 2 else "primary", 0 if start <= pos <= end else min(abs(pos - start), abs(pos - end))))
+    got = [(r.marker, r.gene_id, r.source, r.distance) for r in genomics.window_gene_join(spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
