@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Any, Iterator, Tuple  # noqa: UP035 (Spark reads these hints)
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .ranges import band_join
-
 
 def r2(x: Column, y: Column) -> Column:
     """Squared correlation over the elements present in both arrays; null under 3, 0 without variance."""
@@ -30,12 +30,53 @@ def mean_maf(d: Column) -> Column:
     return F.when(F.size(held) > 0, F.least(f, 1 - f))
 
 
+#: Sites of one side of a block whose pairs are computed at once.
+BLOCK = 512
+
+
+def _block_r2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`r2` of each row of x with each of y, NaN where it is null: the sums over the common elements are matrix products."""
+    mx, my = (~np.isnan(v) for v in (x, y))
+    zx, zy = np.where(mx, x, 0.0), np.where(my, y, 0.0)
+    mx, my = mx.astype(float), my.astype(float)
+    n, a, b = mx @ my.T, zx @ my.T, mx @ zy.T
+    va, vb, c = n * ((zx * zx) @ my.T) - a * a, n * (mx @ (zy * zy).T) - b * b, n * (zx @ zy.T) - a * b
+    flat = (va <= 1e-9) | (vb <= 1e-9)
+    out = np.where(flat, 0.0, c * c / np.where(flat, 1.0, va * vb))
+    out[n < 3] = np.nan
+    return out
+
+
 def ld_pairs(sites: DataFrame, max_bp: int, min_maf: float = 0.05, min_r2: float = 0.0) -> DataFrame:
-    """(chrom, pos1, row1, pos2, row2, distance, r2) of the sites of one chromosome within max_bp, in file order; sites under min_maf are left out."""
-    s = sites.filter(mean_maf(F.col("d")) >= min_maf).select("chrom", "pos", "row_id", "d")
-    p = band_join(s, s, ["chrom"], "pos", max_bp).filter((F.col("a_pos") < F.col("b_pos")) | (F.col("a_row_id") < F.col("b_row_id")))
-    p = p.select("chrom", F.col("a_pos").alias("pos1"), F.col("a_row_id").alias("row1"), F.col("b_pos").alias("pos2"), F.col("b_row_id").alias("row2"), (F.col("b_pos") - F.col("a_pos")).alias("distance"), r2(F.col("a_d"), F.col("b_d")).alias("r2"))
-    return p.filter(F.col("r2") >= min_r2)
+    """(chrom, pos1, row1, pos2, row2, distance, r2) of the sites of one chromosome within max_bp, in file order; sites under min_maf are left out.
+
+    A site is looked up from its bucket of that width and stands in the one before too, as in `band_join`; a
+    bucket is one task, which holds its sites and gives the pairs block by block."""
+    width = max(int(max_bp), 1)
+    s = sites.filter((mean_maf(F.col("d")) >= min_maf) & F.col("chrom").isNotNull() & F.col("pos").isNotNull()).select("chrom", "pos", "row_id", "d")
+    at = F.floor(F.col("pos") / width)
+    s = s.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("bucket", F.when(F.col("own"), at).otherwise(at - 1))
+    kind = {f.name: f.dataType.simpleString() for f in sites.schema}
+
+    def run(key: Tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: UP006
+        pdf = pd.concat(list(frames)).sort_values(["pos", "row_id"])
+        own, pos, row = (pdf[c].to_numpy() for c in ("own", "pos", "row_id"))
+        if not own.any():
+            return
+        x = np.array([[np.nan if v is None else v for v in d] for d in pdf["d"]], float)
+        mine = int(own.sum())  # those of the next bucket lie behind
+        for i in range(0, mine, BLOCK):
+            to = min(i + BLOCK, mine)
+            end = int(np.searchsorted(pos, pos[to - 1] + width, "right"))
+            for j in range(i, end, BLOCK):
+                r = _block_r2(x[i:to], x[j : min(j + BLOCK, end)])
+                gap = pos[None, j : j + r.shape[1]] - pos[i:to, None]
+                later = (gap > 0) | (row[i:to, None] < row[None, j : j + r.shape[1]])
+                a, b = np.nonzero((gap >= 0) & (gap <= width) & later & (r >= min_r2))
+                yield pd.DataFrame({"chrom": key[0], "pos1": pos[i + a], "row1": row[i + a], "pos2": pos[j + b], "row2": row[j + b], "distance": gap[a, b], "r2": r[a, b]})
+
+    schema = f"chrom {kind['chrom']}, pos1 {kind['pos']}, row1 {kind['row_id']}, pos2 {kind['pos']}, row2 {kind['row_id']}, distance {kind['pos']}, r2 double"
+    return s.groupBy("chrom", "bucket").applyInPandas(run, schema)
 
 
 def ld_decay(pairs: DataFrame, width: int = 1000) -> DataFrame:

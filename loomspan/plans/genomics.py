@@ -94,8 +94,8 @@ def _distance(method: str) -> object:
     return f
 
 
-#: Window and bin of the view's linkage queries: its sites are about 25 apart.
-LD_WINDOW, LD_BIN = 200, 20
+#: Window and bin of the linkage queries, the reference's defaults.
+LD_WINDOW, LD_BIN = 50_000, 1000
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Queries over small tables of their own: every row counts."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from loomspan.operators import ld
 from loomspan.plans import genomics
 
 
@@ -38,3 +41,26 @@ def test_every_marker_with_its_whole_window(spark, tmp_path):
                 want.add((f"m{k}", f"G{g}", "secondary" if g % 2 else "primary", 0 if start <= pos <= end else min(abs(pos - start), abs(pos - end))))
     got = [(r.marker, r.gene_id, r.source, r.distance) for r in genomics.window_gene_join(spark, d).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_linkage_of_the_whole_window(spark, tmp_path):
+    """Three sites 1,000 to 50,001 apart: the pair at 50,001 is too far, that at 49,001 isn't."""
+    lines = [(0, 2 * part + n, part, supp, float(10 + (part + supp * (n + 1)) % 7)) for part in (10, 1010, 50_011) for supp in range(1, 26) for n in (1, 2)]
+    d = _write(spark, tmp_path, part=([(k, "B1", 5) for k in (10, 1010, 50_011)], "p_partkey long, p_brand string, p_size int"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"), supplier=([(k, k - 1) for k in range(1, 26)], "s_suppkey long, s_nationkey int"))
+    assert {(r.pos1, r.pos2) for r in genomics.ld_pairs(spark, d).collect()} == {(10, 1010), (1010, 50_011)}
+    assert {r.bin: r.n for r in genomics.ld_decay_bins(spark, d).collect()} == {1: 1, 49: 1}
+
+
+def test_linkage_by_blocks_as_pair_by_pair(spark):
+    rng = np.random.default_rng(3)
+    n, width = 1300, 700  # sites of two chromosomes, several to a place, over more than one block and bucket
+    x = rng.integers(0, 5, (n, 8)) / 4
+    x[rng.random(x.shape) < 0.3] = np.nan
+    pos = rng.integers(0, 2000, n)
+    rows = [(i, f"c{i % 2}", int(pos[i]), [None if np.isnan(v) else float(v) for v in x[i]]) for i in range(n)]
+    s = spark.createDataFrame(rows, "row_id long, chrom string, pos long, d array<double>")
+    got = {(r.row1, r.row2): r.r2 for r in ld.ld_pairs(s, width, 0.0).collect()}
+    a = s.selectExpr("row_id a", "chrom", "pos p", "d x").join(s.selectExpr("row_id b", "chrom", "pos q", "d y"), "chrom")
+    a = a.filter(f"q - p between 0 and {width} and (p < q or a < b)").select("a", "b", ld.r2(F.col("x"), F.col("y")).alias("r2")).filter("r2 is not null")
+    want = {(r.a, r.b): r.r2 for r in a.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
