@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import ld
+from loomspan.operators import ld, merge
 from loomspan.plans import genomics
 
 
@@ -64,3 +64,21 @@ def test_linkage_by_blocks_as_pair_by_pair(spark):
     a = a.filter(f"q - p between 0 and {width} and (p < q or a < b)").select("a", "b", ld.r2(F.col("x"), F.col("y")).alias("r2")).filter("r2 is not null")
     want = {(r.a, r.b): r.r2 for r in a.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_merge_holds_every_site(spark, tmp_path):
+    """Places of 15, 3, 5 and 1: each is read whole, whichever of the two files holds its samples."""
+    cells = [(15, 0), (15, 20), (3, 2), (5, 24), (1, 12)]
+    lines = [(1, 1, part, supp, 4.0) for part, supp in cells]
+    d = _write(spark, tmp_path, part=_parts(15), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"), supplier=([(k, k) for k in range(25)], "s_suppkey long, s_nationkey int"))
+    got = {r.pos: r.calls.split(" ") for r in genomics.merge_full_outer(spark, d).collect()}
+    assert got == {part: ["4,0" if (part, k) in cells else "./." for k in range(25)] for part in (1, 3, 5, 15)}
+
+
+def test_merge_of_sites_in_one_file_only(spark):
+    def file(*rows):
+        return spark.createDataFrame([(pos, "c", pos, ".", "A", "G", calls) for pos, calls in rows], "row_id long, chrom string, pos long, id string, ref string, alt string, calls array<string>")
+
+    out, names = merge.merge_sites([(file((1, ["a1", "b1"]), (2, ["a2", None])), ["a", "b"]), (file((2, ["B2", "c2"]), (3, ["B3", "c3"])), ["b", "c"])])
+    assert names == ["a", "b", "c"]
+    assert {r.pos: r.calls for r in out.collect()} == {1: ["a1", "b1", "./."], 2: ["a2", "B2", "c2"], 3: ["./.", "B3", "c3"]}
