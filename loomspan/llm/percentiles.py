@@ -85,4 +85,4 @@ def chromosome_name(c: Column) -> Column:
     """One spelling of a chromosome's or scaffold's name: Chr01, scaffold_001; other names trimmed, as they are."""
     low = F.lower(F.regexp_replace(c, r"\s+", ""))
     number = F.regexp_extract(low, r"^(?:chromosome|chrom|chr|scaffold)?[_\-.:]*0*(\d+)\z", 1)
-    return F.when(number == "", F.trim(c)).when(low.startswith("scaffold"), F.concat(F.lit("scaffold_"), F.lpad(number, 3, "0"))).otherwise(F.concat(F.lit("Chr"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)))
+    return F.when(number == "", F.trim(c)).when(low.startswith("scaffold"), F.concat(F.lit("scaffold_"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).otherwise(F.concat(F.lit("Chr"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)))

@@ -32,3 +32,9 @@ def test_chromosome_names(spark):
     raw = ["chr1", " Chr01", "Chromosome-1", "1", "CHR_10", "scaffold 7", "SCAFFOLD-012", "scaffold_0001", "scaffold002", "plastid", None]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, c string").orderBy("i").select(P.chromosome_name(F.col("c"))).collect()]
     assert got == ["Chr01", "Chr01", "Chr01", "Chr01", "Chr10", "scaffold_007", "scaffold_012", "scaffold_001", "scaffold_002", "plastid", None]
+
+
+def test_long_scaffold_numbers_stay_apart(spark):
+    raw = ["scaffold_1000", "scaffold_1009", "Scaffold 00012345", "scaffold_100", "contig_53619"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, c string").orderBy("i").select(P.chromosome_name(F.col("c"))).collect()]
+    assert got == ["scaffold_1000", "scaffold_1009", "scaffold_12345", "scaffold_100", "contig_53619"]
