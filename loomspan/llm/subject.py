@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut, release, small
 from .mail import own_sentences
 
-#: Most terms (the commonest) and the sentences that a term must be in; dimensions of the space.
-VOCABULARY, LEAST_SENTENCES, DIMENSIONS = 40_000, 3, 64
+#: Sentences that a term must be in; dimensions of the space.
+LEAST_SENTENCES, DIMENSIONS = 3, 64
 #: Passes of the decomposition, of the refinement, and rounds of the whole.
 PASSES, REFINEMENTS, ROUNDS = 2, 2, 3
 #: Words and bearing terms that a sentence must have to be about a subject, least weight of a bearing term, and least cosine.
@@ -152,7 +152,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
     none = spark.createDataFrame([], f"`{doc}` {kind}, subject string")
     said = cut(sentences(docs, doc, text, lang))
     n = said.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    vocabulary = said.select(F.explode("words").alias("words")).select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SENTENCES).orderBy(F.col("n").desc(), "w").limit(VOCABULARY).collect()
+    vocabulary = said.select(F.explode("words").alias("words")).select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SENTENCES).orderBy(F.col("n").desc(), "w").collect()
     if not vocabulary or not subjects:
         return none
     terms = pa.array([r.w for r in vocabulary])
@@ -176,7 +176,9 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nested, marks], names=[doc, "lang", "ids", "labels"])
 
     table = cut(joined.mapInArrow(to_ids, f"`{doc}` {kind}, lang string, ids array<array<int>>, labels array<int>"))
-    langs = sorted(r.lang for r in table.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(20, n // 500)).select("lang").limit(64).collect() if r.lang) or [""]
+    marked = table.filter(F.col("labels").isNotNull())
+    # two letters each, so they are few; the last place is the other languages'
+    langs = sorted(r.lang for r in marked.filter((F.col("lang") != "") & F.exists("ids", lambda x: F.size(x) > 0)).select("lang").distinct().collect()) + [""]
     v, s = len(terms), len(subjects)
     tongue = {x: i for i, x in enumerate(langs)}
 
@@ -184,7 +186,6 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
         flat, row, of_doc = _tokens(batch.column(0))
         _count(total, flat, _label_shares(batch.column(1), s)[of_doc][row])
 
-    marked = table.filter(F.col("labels").isNotNull())
     said_by_labels = counts = _gathered(marked, ["ids", "labels"], seen_with_labels, v, s)
     if not counts.any():
         return none
@@ -279,14 +280,15 @@ def _seed_sums(model: Model, tongue: dict[str, int], s: int) -> object:
         x, _ = model.embed(flat, row, len(of_doc))
         shares, at = _label_shares(batch.column(2), s)[of_doc], _places(batch.column(1), tongue)[of_doc]
         for m in range(s):
-            hit = np.flatnonzero((shares[:, m] > 0) & (at >= 0))
+            hit = np.flatnonzero(shares[:, m] > 0)
             np.add.at(total, m * len(tongue) + at[hit], x[hit] * shares[hit, m : m + 1])
 
     return kernel
 
 
 def _places(langs: pa.Array, tongue: dict[str, int]) -> np.ndarray:
-    return np.asarray(pc.index_in(langs, pa.array(list(tongue))).fill_null(-1))
+    """Each document's language; those without a place of their own share the last."""
+    return np.asarray(pc.index_in(langs, pa.array(list(tongue))).fill_null(len(tongue) - 1))
 
 
 def _assigned_sums(by: Model, into: Model, tongue: dict[str, int]) -> object:
@@ -298,7 +300,7 @@ def _assigned_sums(by: Model, into: Model, tongue: dict[str, int]) -> object:
         if into is not by:
             x, _ = into.embed(flat, row, len(of_doc))
         at = _places(batch.column(1), tongue)[of_doc]
-        hit = np.flatnonzero((best >= 0) & (at >= 0))
+        hit = np.flatnonzero(best >= 0)
         np.add.at(total, by.of[best[hit]] * len(tongue) + at[hit], x[hit])
 
     return kernel

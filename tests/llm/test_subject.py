@@ -54,3 +54,21 @@ def test_held_out_accuracy(spark):
     assert right / 720 > 0.97 and not {900, 901, 902} & set(got)
     assert subject.subject_areas(df.limit(0), labels, sorted(WORDS)).count() == 0
     assert subject.subject_areas(df, labels.limit(0), sorted(WORDS)).count() == 0
+
+
+def test_languages_of_few_documents(spark):
+    """Ten labelled documents of one language among 1,500 documents of another."""
+    rnd = random.Random(6)
+
+    def said(tag, s):
+        return " ".join(rnd.choice(FRAMES).format(*(tag + w for w in rnd.sample(WORDS[s], 3))) for _ in range(3))
+
+    names = sorted(WORDS)
+    docs = [(i, f"From: P <p@x.example>\n\n{said('', names[i % 3])} Could you confirm the room for Thursday?\n", "en") for i in range(1500)]
+    few = [(2000 + i, f"From: P <p@x.example>\n\n{said('zz', names[i % 3])}\n", "zz") for i in range(18)]
+    truth = {2000 + i: names[i % 3] for i in range(18)}
+    df = spark.createDataFrame(docs + few, "doc_id long, text string, lang string")
+    known = [(i, names[i % 3]) for i in range(0, 1500, 5)] + [(2000 + i, names[i % 3]) for i in range(10)]
+    labels = spark.createDataFrame(known, "doc_id long, subject string")
+    got = {r.doc_id: r.subject for r in subject.subject_areas(df, labels, names).filter("doc_id >= 2000").collect()}
+    assert sum(got.get(k) == v for k, v in truth.items()) >= 15
