@@ -11,9 +11,21 @@ from pyspark.sql import functions as F
 
 #: Largest estimated plan size, in bytes, of a side that is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bytes in memory for each byte of a file: Catalyst takes a file's compressed size for that of its rows.
+FILE_EXPANSION = 4.0
+
+
+def _true_sizes(spark: SparkSession) -> None:
+    """Let Catalyst's estimates of files count what they unpack to, unless the session has set a factor of its own.
+
+    Else joins of large tables in small files would be broadcast, by its own choice too."""
+    key = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(key, "1.0")) == 1.0:
+        spark.conf.set(key, str(FILE_EXPANSION))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _true_sizes(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +55,7 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 
     The files go when the Python driver ends, or by `release`."""
     spark = df.sparkSession
+    _true_sizes(spark)
     path = f"{shared_dir(spark)}/loomspan-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -60,7 +73,8 @@ def release(df: DataFrame | None) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df."""
+    """Catalyst's size estimate of df, that of files raised by FILE_EXPANSION."""
+    _true_sizes(df.sparkSession)
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
