@@ -27,12 +27,24 @@ def cell_counts(df: DataFrame, groups: Sequence[str], value: str, intervals: Dat
     the same intervals, are combined by `add_counts`."""
     hit = F.filter("spans", lambda s: (F.col(value) >= s["lo"]) & (F.col(value) <= s["hi"]))
     rows = df.select(*groups, value).join(small(intervals), [*groups]).select(*groups, value, F.explode(hit).alias("s"))
-    # halving both ends first keeps the width of the widest intervals finite
-    part = (F.col(value) / 2 - F.col("s.lo") / 2) / (F.col("s.hi") / 2 - F.col("s.lo") / 2)
-    cell = F.least(F.floor(part * cells), F.lit(cells - 1)).cast("int")
+    cell = _cell(F.col(value), F.col("s.lo"), F.col("s.hi"), cells)
     return rows.groupBy(*groups, F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"), cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"))
 
 
+def _cell(v: Column, lo: Column, hi: Column, cells: int) -> Column:
+    """The cell of v between lo < hi; greater values have no lesser cell.
+
+    An interval around or beside 0 is cut into below, at and above it. One whose ends are far apart is halved in
+    logarithms, so that the passes don't depend on how small the values are; else its width is."""
+    wide = hi - lo
+    # the width of the widest intervals isn't finite; neighbouring denormal numbers still differ by more than 0
+    even = F.when(wide < float("inf"), F.try_divide(v - lo, wide)).otherwise((v / 2 - lo / 2) / (hi / 2 - lo / 2))
+    log = lambda x, a, b: (F.log(x) - F.log(a)) / (F.log(b) - F.log(a))
+    part = F.when((lo > 0) & (hi / 16 > lo), log(v, lo, hi)).when((hi < 0) & (lo / 16 < hi), 1 - log(-v, -hi, -lo)).otherwise(even)
+    sign = (v >= 0).cast("int") + (v > 0).cast("int")
+    return F.when((lo <= 0) & (hi >= 0), sign).otherwise(F.greatest(F.least(F.floor(part * cells), F.lit(cells - 1)), F.lit(0)).cast("int"))
+
+
 def add_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """The counts of several parts as those of the whole."""
     return counts.groupBy(*groups, "lo", "hi", "cell").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
@@ -44,7 +56,7 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, pcts: Sequence
     Values that are null, NaN or infinite, or don't meet `valid`, don't count; groups with fewer than
     at_least counting values give no rows. Null is a group like any other. Repeated rows count each; ties
     are ranks of one value; an empty df gives no rows. Columns other than groups and value aren't read.
-    A pass reads df's values once; about log(rows of a group) / log(16) passes are needed."""
+    A pass reads df's values once; whatever the values, 20 passes at most are needed."""
     g = [f"__g{i}" for i in range(len(groups))]
     keep = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value).cast("double")) < float("inf"))
     base = df.filter(keep if valid is None else keep & valid).select(*(F.struct(F.col(c).alias("v")).alias(n) for n, c in zip(g, groups)), F.col(value).cast("double").alias("__v"))

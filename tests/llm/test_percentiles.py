@@ -38,3 +38,21 @@ def test_long_scaffold_numbers_stay_apart(spark):
     raw = ["scaffold_1000", "scaffold_1009", "Scaffold 00012345", "scaffold_100", "contig_53619"]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, c string").orderBy("i").select(P.chromosome_name(F.col("c"))).collect()]
     assert got == ["scaffold_1000", "scaffold_1009", "scaffold_12345", "scaffold_100", "contig_53619"]
+
+
+def test_smallest_and_widest_values(spark):
+    """Neighbouring denormal numbers, and values over all exponents: few passes, and no division by 0."""
+    parts = {"denormal": np.array([1e-323, 1.5e-323, 2e-323]), "wide": 10.0 ** -np.arange(0, 300, 0.37), "both": np.concatenate((-(10.0 ** -np.arange(0, 300, 1.1)), [0.0, 0.0], 10.0 ** -np.arange(0, 300, 0.9))), "ends": np.array([-1.7e308, -1e308, 0.0, 1e308, 1.7e308])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in parts.items() for v in x], "g string, v double")
+    cut, passes = P.cut, []
+    P.cut = lambda t: passes.append(1) or cut(t)
+    try:
+        got = {(r.g, r.pct): r.percentile for r in P.percentiles(df, ["g"], "v", [25, 50, 75]).collect()}
+    finally:
+        P.cut = cut
+    assert len(passes) <= 22
+    for (g, pct), v in got.items():
+        x = np.sort(parts[g])
+        h = (len(x) - 1) * pct / 100
+        a, b = x[int(np.floor(h))], x[int(np.ceil(h))]
+        assert v == pytest.approx(a + (b - a) * (h - np.floor(h)), rel=1e-9, abs=0)
