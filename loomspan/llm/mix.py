@@ -2,7 +2,8 @@
 
 Documents are summed by the set of sources that have them (their pattern). A pattern's tokens flow to the
 quotas of its sources; using a pattern once costs nothing, twice one a token, and so on, so repetition
-is spread as far as the quotas allow. What flows is then taken from the documents in seeded order.
+is spread as far as the quotas allow. (From the 16th time on, the cost of a token grows with each doubling, so
+that a pattern has few edges however often it may be repeated.) What flows is then taken from the documents in seeded order.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ class Target:
 
 
 class Flow:
-    """A min-cost flow by successive cheapest paths; costs are whole and not negative at first."""
+    """A min-cost flow; costs are whole and not negative at first.
+
+    All cheapest paths of one cost are filled at once: with the nodes' distances as potentials, a blocking flow
+    runs over the edges that lie on such paths. There are as many rounds as different costs of paths, which are few."""
 
     def __init__(self, n: int):
         self.out: list[list[int]] = [[] for _ in range(n)]
@@ -51,30 +55,78 @@ class Flow:
     def used(self, edge: int) -> int:
         return self.left[edge ^ 1]
 
+    def _distances(self, s: int) -> list[float]:
+        dist, queue, waits = [math.inf] * len(self.out), deque([s]), {s}
+        dist[s] = 0
+        while queue:
+            x = queue.popleft()
+            waits.discard(x)
+            for e in self.out[x]:
+                y = self.to[e]
+                if self.left[e] and dist[x] + self.cost[e] < dist[y]:
+                    dist[y] = dist[x] + self.cost[e]
+                    if y not in waits:
+                        waits.add(y)
+                        queue.append(y)
+        return dist
+
+    def _levels(self, s: int, dist: list[float]) -> list[int]:
+        """Steps from s over the edges of cheapest paths, -1 for what they don't reach."""
+        level, queue = [-1] * len(self.out), deque([s])
+        level[s] = 0
+        while queue:
+            x = queue.popleft()
+            for e in self.out[x]:
+                y = self.to[e]
+                if self.left[e] and level[y] < 0 and dist[x] + self.cost[e] == dist[y]:
+                    level[y] = level[x] + 1
+                    queue.append(y)
+        return level
+
     def run(self, s: int, t: int) -> None:
         while True:
-            dist, came = [math.inf] * len(self.out), [-1] * len(self.out)
-            dist[s], queue, waits = 0, deque([s]), {s}
-            while queue:
-                x = queue.popleft()
-                waits.discard(x)
-                for e in self.out[x]:
-                    y = self.to[e]
-                    if self.left[e] and dist[x] + self.cost[e] < dist[y]:
-                        dist[y], came[y] = dist[x] + self.cost[e], e
-                        if y not in waits:
-                            waits.add(y)
-                            queue.append(y)
-            if came[t] < 0:
+            dist = self._distances(s)
+            if dist[t] == math.inf:
                 return
-            path, y = [], t
-            while y != s:
-                path.append(came[y])
-                y = self.to[came[y] ^ 1]
-            most = min(self.left[e] for e in path)
-            for e in path:
-                self.left[e] -= most
-                self.left[e ^ 1] += most
+            while (level := self._levels(s, dist))[t] >= 0:
+                self._block(s, t, dist, level)
+
+    def _block(self, s: int, t: int, dist: list[float], level: list[int]) -> None:
+        """Fill paths of one step of level each until none is left; an edge that leads nowhere isn't tried again."""
+        next_, path, x = [0] * len(self.out), [], s
+        while True:
+            if x == t:
+                most = min(self.left[e] for e in path)
+                for e in path:
+                    self.left[e] -= most
+                    self.left[e ^ 1] += most
+                first = next(i for i, e in enumerate(path) if not self.left[e])
+                x, path = self.to[path[first] ^ 1], path[:first]
+                continue
+            while next_[x] < len(self.out[x]):
+                e = self.out[x][next_[x]]
+                y = self.to[e]
+                if self.left[e] and level[y] == level[x] + 1 and dist[x] + self.cost[e] == dist[y]:
+                    path.append(e)
+                    x = y
+                    break
+                next_[x] += 1
+            else:
+                if x == s:
+                    return
+                x = self.to[path.pop() ^ 1]
+                next_[x] += 1
+
+
+def levels(repeats: int) -> list[tuple[int, int]]:
+    """(times, cost of a token) of using a pattern `repeats` times: each of the first 16 costs one more, then those of a doubling cost the same."""
+    out, at, width, cost = [], 0, 1, 0
+    while at < repeats:
+        take = min(width, repeats - at)
+        out.append((take, cost))
+        at, cost = at + take, cost + 1
+        width = at if at >= 16 else 1
+    return out
 
 
 def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[Target], total: int) -> dict[tuple[tuple[str, ...], str], int]:
@@ -85,8 +137,8 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[Target], to
     pipes = {}
     for i, (names, size) in enumerate(patterns):
         mine = [targets[place[x]] for x in names]
-        for level in range(max((x.max_repeats for x in mine), default=0)):
-            flow.edge(s, i, size, level)
+        for times, cost in levels(max((x.max_repeats for x in mine), default=0)):
+            flow.edge(s, i, size * times, cost)
         for x in mine:
             pipes[names, x.source] = flow.edge(i, n + place[x.source], size * max(x.max_repeats, 0))
     for i, x in enumerate(targets):

@@ -75,15 +75,32 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix.select(cut(docs), targets)
 
 
+def _shared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The different texts, each once with all sources that it came from, and the targets."""
+    name = F.lower(F.trim("source"))
+    docs = once_per(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id").filter(F.length("text") > 0)
+    # the texts themselves aren't shuffled: two of 128 equal bits are taken for one
+    of = docs.select("doc_id", F.array(F.xxhash64("text"), F.xxhash64(F.reverse("text"))).alias("h"), name.alias("source"))
+    of = of.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("source")).alias("sources"))
+    sizes = tokens.count_tokens(docs.select("doc_id", "text"), "text").select(F.col("doc_id").alias("__doc"), "n_tokens")
+    targets = table(spark, d, "source_targets").select(name.alias("source"), "target_share", "max_repeats")
+    return of.join(sizes, F.col("doc_id") == F.col("__doc")).select("doc_id", "sources", "n_tokens"), targets
+
+
+def p9_shared_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mix of the different texts: copies under several sources may serve any of them."""
+    return mix.report(*_shared(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_report(spark, d).filter("short").select("source")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, subject) of every document that is about a subject."""
-    names = [r.subject for r in table(spark, d, "subject_areas").select("subject").filter("subject is not null").distinct().orderBy("subject").limit(1000).collect()]
+    names = [r.subject for r in table(spark, d, "subject_areas").select("subject").filter("subject is not null").distinct().orderBy("subject").limit(subject.MOST_SUBJECTS + 1).collect()]
     return subject.subject_areas(table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "subject_labels"), names)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_percentiles, p3_found, p3_clusters, p8_ids, p9_found, p9_report, p9_mix, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_similar, p2_found, p2_percentiles, p3_found, p3_clusters, p8_ids, p9_found, p9_report, p9_shared_report, p9_mix, p10_found)}
 SQL = queries_sql.SQL

@@ -25,12 +25,15 @@ from .mail import own_sentences
 
 #: Sentences that a term must be in; dimensions of the space.
 LEAST_SENTENCES, DIMENSIONS = 3, 64
+#: Most subjects that are told apart; more are an error.
+MOST_SUBJECTS = 1000
 #: Passes of the decomposition, of the refinement, and rounds of the whole.
 PASSES, REFINEMENTS, ROUNDS = 2, 2, 3
 #: Words and bearing terms that a sentence must have to be about a subject, least weight of a bearing term, and least cosine.
 LEAST_WORDS, LEAST_TERMS, BEARING, LEAST_COSINE = 4, 2, 0.25, 0.3
 _WORD = re.compile(r"[^\W\d_]{2,}")
-_BLOCK = 1024
+#: Rows of a block of a sum of matrices, and parts that a task adds up.
+_BLOCK, _FAN_IN = 1024, 64
 
 
 def sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -114,15 +117,22 @@ def _gathered(table: DataFrame, columns: list[str], kernel: object, rows: int, w
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.astype(np.float32).tobytes()])], names=["at", "part"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf.part)
-        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "part": [total.astype(np.float32).tobytes()]})
-
-    parts = table.select(*columns).mapInArrow(run, "at int, part binary")
-    # one level of partial sums, then the final one: no task adds more than about the root of the parts
-    spread = parts.withColumn("k", F.spark_partition_id() % 32)
-    first = spread.groupBy("at", "k").applyInPandas(lambda pdf: add(pdf[["at", "part"]]), "at int, part binary")
+        total = np.zeros(len(pdf.part.iloc[0]) // 4)
+        for x in pdf.part:
+            total += np.frombuffer(x, np.float32)
+        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "k": [pdf["k"].iloc[0]], "part": [total.astype(np.float32).tobytes()]})
+
+    parts = table.select(*columns).mapInArrow(run, "at int, part binary").withColumn("k", F.spark_partition_id())
+    # whatever the number of tasks, none adds more than _FAN_IN parts of a block, and the driver gets a block once
+    left = table.rdd.getNumPartitions()
+    while True:
+        left = math.ceil(left / _FAN_IN)
+        parts = parts.withColumn("k", F.expr(f"k div {_FAN_IN}"))
+        parts = parts.groupBy("at", "k").applyInPandas(add, "at int, k long, part binary")
+        if left <= 1:
+            break
     out = np.zeros((rows, width))
-    for r in first.collect():  # at most 32 * rows * width floats
+    for r in parts.collect():  # rows * width floats
         x = np.frombuffer(r.part, np.float32).reshape(-1, width)
         out[r["at"] : r["at"] + len(x)] += x
     return out
@@ -147,6 +157,8 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
     labels: (doc, subject), known subjects of some documents, a few of which may be wrong; subjects that aren't
     in `subjects` don't count. Null, empty and blank texts have no subject, nor has anything if there are no
     labels or no texts; repeated documents give repeated evidence but one row per document and subject."""
+    if len(subjects) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc]
     none = spark.createDataFrame([], f"`{doc}` {kind}, subject string")
