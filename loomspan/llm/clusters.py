@@ -7,9 +7,11 @@ pairs of nodes that are each other's best link merge, until no link is left (or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -18,6 +20,8 @@ from ..runtime import cut, release, small
 
 #: Links of one part up to which one task merges them; a part with more is merged by all tasks, round by round.
 PART_LINKS = 200_000
+#: Pairs of records between two cells from which they are counted by blocks, and records of a block.
+DENSE, BLOCK = 1 << 20, 1024
 _EPS = 1e-9
 
 
@@ -27,12 +31,13 @@ def _cells(points: DataFrame, width: float) -> DataFrame:
     return points.withColumn("cell", coord)
 
 
-def links(points: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+def links(points: DataFrame, width: float, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
     """The nodes (part, cell, node, size) and links (part, a, b, n, s) of the graph; a < b.
 
     node: the least id in the cell. n: the alike pairs between two nodes, s: the sum of their similarities,
     1 - (greatest difference of a component) / width / 2. Pairs are sought between cells whose coordinates
-    differ by one at most, through blocks of three coordinates, and are counted where they are made."""
+    differ by one at most, through blocks of three coordinates, and are counted where they are made; between two
+    cells with more than `dense` of them, by blocks of records whose places are within reach, a task for each two."""
     placed = cut(_cells(points, width))
     box = placed.groupBy("part", "cell").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("size"))
     nodes = cut(box)
@@ -42,13 +47,59 @@ def links(points: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
     around = F.flatten(F.transform(step, lambda x: F.flatten(F.transform(step, lambda y: F.transform(step, lambda z: F.array(x, y, z))))))
     # short vectors have fewer coordinates: the shifts are cut to their length
     shifts = F.array_distinct(F.transform(around, lambda s: F.slice(s, 1, F.size("at"))))
-    asks = here.select("part", F.col("cell").alias("cell_a"), F.col("node").alias("a"), F.explode(F.transform(shifts, lambda s: F.zip_with("at", s, lambda x, y: x + y))).alias("at"))
-    near = asks.join(here.select("part", "at", F.col("cell").alias("cell_b"), F.col("node").alias("b")), ["part", "at"]).filter(F.col("a") < F.col("b"))
-    near = near.filter(F.forall(F.zip_with("cell_a", "cell_b", lambda x, y: F.abs(x - y)), lambda d: d <= 1)).select("part", "cell_a", "cell_b", "a", "b")
+    asks = here.select("part", F.col("cell").alias("cell_a"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.explode(F.transform(shifts, lambda s: F.zip_with("at", s, lambda x, y: x + y))).alias("at"))
+    near = asks.join(here.select("part", "at", F.col("cell").alias("cell_b"), F.col("node").alias("b"), F.col("size").alias("size_b")), ["part", "at"]).filter(F.col("a") < F.col("b"))
+    near = near.filter(F.forall(F.zip_with("cell_a", "cell_b", lambda x, y: F.abs(x - y)), lambda d: d <= 1)).select("part", "cell_a", "cell_b", "a", "b", (F.col("size_a") * F.col("size_b") > dense).alias("heavy"))
+    many = not nodes.filter(F.col("size") * F.col("size") > dense).isEmpty()
+    thin = near.filter(~F.col("heavy")) if many else near  # one of two cells with so many pairs is that large itself
     left, right = (placed.select("part", F.col("cell").alias(f"cell_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
     gap = F.array_max(F.zip_with("v_a", "v_b", lambda x, y: F.abs(x - y)))
-    pairs = near.join(left, ["part", "cell_a"]).join(right, ["part", "cell_b"]).select("part", "a", "b", gap.alias("gap")).filter(F.col("gap") <= width + _EPS)
-    return nodes, pairs.groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("gap") / width / 2).alias("s"))
+    pairs = thin.join(left, ["part", "cell_a"]).join(right, ["part", "cell_b"]).select("part", "a", "b", gap.alias("gap")).filter(F.col("gap") <= width + _EPS)
+    found = pairs.groupBy("part", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("gap") / width / 2).alias("s"))
+    if many:
+        found = found.unionByName(_dense_links(placed, nodes, cut(near.filter("heavy").drop("heavy")), width))
+    return nodes, found
+
+
+def _dense_links(placed: DataFrame, nodes: DataFrame, near: DataFrame, width: float) -> DataFrame:
+    """(part, a, b, n, s) of the pairs of cells `near` (part, cell_a, cell_b, a, b), counted between blocks of their records.
+
+    A cell's records are divided by finer cells, and those of one finer cell by chance, into blocks of about
+    BLOCK; only blocks whose boxes are within reach are compared, each two in a row of its own."""
+    ends = [near.select("part", F.col(f"cell_{x}").alias("cell")) for x in "ab"]
+    rows = placed.join(ends[0].unionByName(ends[1]).distinct(), ["part", "cell"]).select("part", "cell", "id", "v", F.transform(F.slice("v", 1, 3), lambda x: F.floor(x / width * 4)).alias("fine"))
+    key = ["part", "cell", "fine"]
+    sizes = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    rows = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf.v.tolist(), float)
+        return pd.DataFrame({"part": [pdf.part.iloc[0]], "cell": [pdf.cell.iloc[0]], "dims": [x.shape[1]], "low": [x.min(0).tolist()], "high": [x.max(0).tolist()], "rows": [x.tobytes()]})
+
+    blocks = rows.groupBy(*key, "block").applyInPandas(pack, f"part string, cell {dict(nodes.dtypes)['cell']}, dims int, low array<double>, high array<double>, rows binary")
+    blocks = cut(blocks.withColumn("no", F.monotonically_increasing_id()))
+    box = lambda x: blocks.select("part", F.col("cell").alias(f"cell_{x}"), F.col("no").alias(f"no_{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"))
+    apart = lambda p, q: F.exists(F.zip_with(p, q, lambda x, y: x - y), lambda d: d > width + _EPS)
+    two = near.join(box("a"), ["part", "cell_a"]).join(box("b"), ["part", "cell_b"]).filter(~apart("low_a", "high_b") & ~apart("low_b", "high_a"))
+    held = lambda x: blocks.select(F.col("no").alias(f"no_{x}"), F.col("dims").alias(f"dims_{x}"), F.col("rows").alias(f"rows_{x}")).hint("merge")
+    two = two.select("part", "a", "b", "no_a", "no_b").join(held("a"), "no_a").join(held("b"), "no_b").select("part", "a", "b", "dims_a", "rows_a", "rows_b")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, s = [], []
+            for dims, p, q in zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                x, y = (np.frombuffer(r.as_buffer()).reshape(-1, dims) for r in (p, q))
+                gap = np.zeros((len(x), len(y)))
+                for i in range(dims):
+                    np.maximum(gap, np.abs(x[:, i, None] - y[None, :, i]), out=gap)
+                gap = gap[gap <= width + _EPS]
+                n.append(len(gap))
+                s.append(float((1 - gap / width / 2).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(s, pa.float64())], names=["part", "a", "b", "n", "s"])
+
+    kind = dict(nodes.dtypes)["node"]
+    out = two.mapInArrow(count, f"part string, a {kind}, b {kind}, n long, s double")
+    return out.groupBy("part", "a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).filter("n > 0")
 
 
 def _similarity(missing: str) -> Column:
@@ -127,7 +178,7 @@ def _merge_rounds(edges: DataFrame, nodes: DataFrame, missing: str, least: float
         edges, label = new_edges, new_label
 
 
-def cluster(df: DataFrame, key: str, parts: Sequence[str], column: str, width: float, missing: str = "zero", least: float = 0.25, part_links: int = PART_LINKS) -> DataFrame:
+def cluster(df: DataFrame, key: str, parts: Sequence[str], column: str, width: float, missing: str = "zero", least: float = 0.25, part_links: int = PART_LINKS, dense: int = DENSE) -> DataFrame:
     """(key, cluster): of each record of df, the least key of its cluster; lone records are clusters of one.
 
     Records of different `parts`, or with vectors of different lengths, are never alike. Vectors that are
@@ -136,12 +187,12 @@ def cluster(df: DataFrame, key: str, parts: Sequence[str], column: str, width: f
     their pairs, in which a pair that isn't alike counts as 0 (missing='zero': average linkage), or isn't
     counted (missing='ignore': whatever is linked, directly or through others, ends in one cluster). Merging
     stops below `least`. Ties go to the smaller keys. Parts with more than part_links links are merged by
-    all tasks."""
+    all tasks; cells with more than `dense` pairs between them are compared by blocks."""
     fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     points = df.filter(F.col(key).isNotNull() & (F.size(column) > 0) & F.coalesce(fine, F.lit(False)))
     points = points.select(F.struct(*(F.col(c).alias(f"p{i}") for i, c in enumerate(parts)), F.size(column).alias("dims")).alias("part"), F.col(key).alias("id"), F.col(column).cast("array<double>").alias("v")).dropDuplicates(["id"])
     points = cut(points.withColumn("part", F.xxhash64("part").cast("string")))
-    nodes, edges = links(points, width)
+    nodes, edges = links(points, width, dense)
     edges = cut(edges)
     count = edges.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
     large = cut(count.filter(F.col("k") > part_links).select("part"))

@@ -64,3 +64,17 @@ def test_description(spark):
     c = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "id long, cluster long")
     got = {r.cluster: (r.size, r.typical, r.given) for r in clusters.describe(df, "id", "v", "name", "g", c, 2).collect()}
     assert got == {1: (3, ["c", "a"], 2), 4: (1, ["d"], None)}
+
+
+def test_dense_cells_by_blocks(spark, monkeypatch):
+    """A cell with most records: the links are those that are counted pair by pair."""
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    x = np.concatenate((0.12 + 0.06 * rng.random((150, 3)), 0.06 + 0.3 * rng.random((100, 3))))
+    points = frame(spark, x).withColumnRenamed("run", "part")
+    key = lambda t: {(r.a, r.b): (r.n, round(r.s, 9)) for r in t.collect()}
+    plain, blocks, mixed = (key(clusters.links(points, 0.06, d)[1]) for d in (10**9, 0, 200))
+    assert len(plain) > 50 and blocks == plain and mixed == plain
+    cell = [tuple(c) for c in np.floor(x / 0.06 + 1e-9).astype(int)]
+    near = np.abs(x[:, None] - x[None]).max(2) <= 0.06 + 1e-9
+    assert sum(n for n, _ in plain.values()) == sum(near[i, j] for i in range(len(x)) for j in range(i) if cell[i] != cell[j])
