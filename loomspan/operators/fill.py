@@ -6,7 +6,8 @@ nearest one before (else after); every filled value is marked with the method an
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +22,30 @@ from ..runtime import cut, fresh, small
 #: Rows of one entity from which it is divided over several tasks.
 HOT_ROWS = 500_000
 
+#: The value at a share of the way between two others; null if there is none.
+Between = Callable[[Column, Column, Column], Column]
 
-def fill_in_order(df: DataFrame, entity: Sequence[str], order: Sequence[str], numeric: Sequence[str] = (), categorical: Sequence[str] = (), max_gap: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def between_numbers(a: Column, b: Column, share: Column) -> Column:
+    return a + (b - a) * share
+
+
+def fill_in_order(df: DataFrame, entity: Sequence[str], order: Sequence[str], numeric: Sequence[str] | Mapping[str, Between] = (), categorical: Sequence[str] = (), max_gap: int | None = None, hot_rows: int = HOT_ROWS, time: str | None = None, far_gap: int | None = None) -> DataFrame:
     """df with, for each filled column c, also c_filled, c_method and c_distance.
 
     entity: columns of the group whose rows may fill each other. order: time and tie-breaking columns.
     A value is missing when it is null. c_method is `interpolated`, `carried_forward` or `carried_back`
     for a filled value, else null; c_distance counts rows of the entity to the nearest observed one used.
-    Numbers between two observed ones are interpolated by rank, others carried. max_gap: values farther
-    than so many rows stay missing. Rows with a null in `entity` are never filled nor used; ties in
+    Numbers between two observed ones are interpolated by `time` (a number or timestamp; halfway where the two
+    have one time) or, without it or where it is null, by rank; others are carried. A mapping as `numeric` says how each
+    column is interpolated; where it gives null, the value is carried. max_gap: values farther than so many
+    rows stay missing; far_gap: they are filled, but their method ends in `_far`. Rows with a null in `entity` are never filled nor used; ties in
     `order` fall in some order, so give a unique last column; repeated rows count as rows; an empty df
     gives no rows. Entities of more than hot_rows rows are cut into ranges over several tasks."""
+    if not isinstance(numeric, Mapping):
+        numeric = dict.fromkeys(numeric, between_numbers)
     cols = [*numeric, *categorical]
+    rule = _Rule(numeric, categorical, max_gap, far_gap, time)
     known = F.lit(True)
     for c in entity:
         known &= F.col(c).isNotNull()
@@ -40,65 +53,87 @@ def fill_in_order(df: DataFrame, entity: Sequence[str], order: Sequence[str], nu
     rest = df.filter(known)
     hot = rest.groupBy(*entity).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).drop("__n")
     if hot.isEmpty():
-        filled = _fill(rest, [*entity], order, numeric, categorical, max_gap)
+        filled = _fill(rest, [*entity], order, rule)
     else:
         hot = cut(hot)
-        filled = _fill(rest.join(small(hot), [*entity], "left_anti"), [*entity], order, numeric, categorical, max_gap)
-        filled = filled.unionByName(_fill_hot(rest.join(small(hot), [*entity], "left_semi"), entity, order, numeric, categorical, max_gap))
+        filled = _fill(rest.join(small(hot), [*entity], "left_anti"), [*entity], order, rule)
+        filled = filled.unionByName(_fill_hot(rest.join(small(hot), [*entity], "left_semi"), entity, order, rule))
     blank = lone.select("*", *(x for c in cols for x in (F.col(c).alias(f"{c}_filled"), F.lit(None).cast("string").alias(f"{c}_method"), F.lit(None).cast("long").alias(f"{c}_distance"))))
     return filled.unionByName(blank)
 
 
-def _seen(rn: str, c: str) -> Column:
-    return F.when(F.col(c).isNotNull(), F.struct(F.col(rn).cast("long").alias("at"), F.col(c).alias("v")))
+@dataclass
+class _Rule:
+    """How the columns are filled."""
+
+    numeric: Mapping[str, Between]
+    categorical: Sequence[str]
+    max_gap: int | None
+    far_gap: int | None
+    time: str | None
+
+    @property
+    def cols(self) -> list[str]:
+        return [*self.numeric, *self.categorical]
+
+    def when(self) -> Column:
+        return F.col(self.time).cast("timestamp").cast("double") if self.time else F.lit(None).cast("double")
 
+    def seen(self, c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.col("__rn").cast("long").alias("at"), self.when().alias("t"), F.col(c).alias("v")))
 
-def _neighbours(df: DataFrame, part: list[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
+
+def _neighbours(df: DataFrame, part: list[str], order: Sequence[str], rule: _Rule) -> DataFrame:
     """df with __rn and, for each c, __p_c and __q_c: rank and value of the nearest observed row before and after."""
     up = W.Window.partitionBy(*part).orderBy(*order)
     down = W.Window.partitionBy(*part).orderBy(F.col("__rn").desc()).rowsBetween(W.Window.unboundedPreceding, 0)
     df = df.withColumn("__rn", F.row_number().over(up).cast("long"))
     so_far = W.Window.partitionBy(*part).orderBy("__rn").rowsBetween(W.Window.unboundedPreceding, 0)
-    df = df.select("*", *(F.last(_seen("__rn", c), ignorenulls=True).over(so_far).alias(f"__p_{c}") for c in cols))
-    return df.select("*", *(F.last(_seen("__rn", c), ignorenulls=True).over(down).alias(f"__q_{c}") for c in cols))
+    df = df.select("*", *(F.last(rule.seen(c), ignorenulls=True).over(so_far).alias(f"__p_{c}") for c in rule.cols))
+    return df.select("*", *(F.last(rule.seen(c), ignorenulls=True).over(down).alias(f"__q_{c}") for c in rule.cols))
 
 
-def _settle(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_gap: int | None) -> DataFrame:
+def _settle(df: DataFrame, rule: _Rule) -> DataFrame:
     out = []
-    for c in [*numeric, *categorical]:
+    for c in rule.cols:
         p, q, rn = F.col(f"__p_{c}"), F.col(f"__q_{c}"), F.col("__rn")
-        near = (lambda x: x.isNotNull()) if max_gap is None else (lambda x: x.isNotNull() & (F.abs(rn - x["at"]) <= max_gap))
+        near = lambda x: x.isNotNull() if rule.max_gap is None else x.isNotNull() & (F.abs(rn - x["at"]) <= rule.max_gap)
         before, after = rn - p["at"], q["at"] - rn
-        method = F.when(F.col(c).isNotNull(), F.lit(None))
-        value = F.when(F.col(c).isNotNull(), F.col(c))
-        if c in numeric:
-            both = near(p) & near(q)
-            method = method.when(both, "interpolated")
-            value = value.when(both, p["v"] + (q["v"] - p["v"]) * before / (before + after))
-        method = method.when(near(p), "carried_forward").when(near(q), "carried_back")
-        value = value.when(near(p), p["v"]).when(near(q), q["v"])
-        far = F.when(F.col(c).isNotNull(), F.lit(None)).when(near(p) & near(q) & F.lit(c in numeric), F.least(before, after)).when(near(p), before).when(near(q), after)
-        out += [value.cast(df.schema[c].dataType if c in categorical else "double").alias(f"{c}_filled"), method.cast("string").alias(f"{c}_method"), far.cast("long").alias(f"{c}_distance")]
+        empty, value, method, far = F.col(c).isNull(), F.col(c), F.lit(None).cast("string"), F.lit(None).cast("long")
+        steps = [(near(p), p["v"], "carried_forward", before), (near(q), q["v"], "carried_back", after)]
+        if c in rule.numeric:
+            by_time = F.when(q["t"] > p["t"], (rule.when() - p["t"]) / F.nullif(q["t"] - p["t"], F.lit(0.0))).when(q["t"] == p["t"], F.lit(0.5))
+            made = rule.numeric[c](p["v"], q["v"], F.coalesce(by_time, before / (before + after)))
+            steps.insert(0, (near(p) & near(q) & made.isNotNull(), made, "interpolated", F.least(before, after)))
+        for cond, v, name, distance in reversed(steps):
+            value, method, far = F.when(empty & cond, v).otherwise(value), F.when(empty & cond, F.lit(name)).otherwise(method), F.when(empty & cond, distance).otherwise(far)
+        if rule.far_gap is not None:
+            method = F.when(far > rule.far_gap, F.concat(method, F.lit("_far"))).otherwise(method)
+        kind = "double" if rule.numeric.get(c) is between_numbers else df.schema[c].dataType
+        out += [value.cast(kind).alias(f"{c}_filled"), method.alias(f"{c}_method"), far.cast("long").alias(f"{c}_distance")]
     return df.select("*", *out)
 
 
-def _fill(df: DataFrame, part: list[str], order: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], max_gap: int | None) -> DataFrame:
-    cols = [*numeric, *categorical]
-    return _settle(_neighbours(df, part, order, cols), numeric, categorical, max_gap).drop("__rn", *(f"__{x}_{c}" for c in cols for x in "pq"))
+def _fill(df: DataFrame, part: list[str], order: Sequence[str], rule: _Rule) -> DataFrame:
+    return _settle(_neighbours(df, part, order, rule), rule).drop("__rn", *(f"__{x}_{c}" for c in rule.cols for x in "pq"))
+
 
+def _place(c: str) -> Column:
+    return F.when(F.col(c).isNotNull(), F.col("__rn"))
 
-def _fill_hot(df: DataFrame, entity: Sequence[str], order: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], max_gap: int | None) -> DataFrame:
+
+def _fill_hot(df: DataFrame, entity: Sequence[str], order: Sequence[str], rule: _Rule) -> DataFrame:
     """As _fill, with each entity in ranges of its order: a range knows its own neighbours, and of the other ranges their outermost observed values."""
-    cols = [*numeric, *categorical]
+    cols = rule.cols
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     part = fresh(df, "part")
     df = cut(df.repartitionByRange(n, *(F.col(c) for c in [*entity, *order])).withColumn(part, F.spark_partition_id()))
     key = [*entity, part]
-    df = _neighbours(df, key, order, cols)
-    ends = df.groupBy(*key).agg(F.max("__rn").alias("__n"), *(f for c in cols for f in (F.min(_seen("__rn", c)).alias(f"__a_{c}"), F.max(_seen("__rn", c)).alias(f"__z_{c}"))))
+    df = _neighbours(df, key, order, rule)
+    ends = df.groupBy(*key).agg(F.max("__rn").alias("__n"), *(f for c in cols for f in (F.min_by(rule.seen(c), _place(c)).alias(f"__a_{c}"), F.max_by(rule.seen(c), _place(c)).alias(f"__z_{c}"))))
     before = W.Window.partitionBy(*entity).orderBy(part).rowsBetween(W.Window.unboundedPreceding, -1)
     ends = ends.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    moved = lambda x: F.when(F.col(x).isNotNull(), F.struct((F.col(x)["at"] + F.col("__off")).alias("at"), F.col(x)["v"].alias("v")))
+    moved = lambda x: F.when(F.col(x).isNotNull(), F.struct((F.col(x)["at"] + F.col("__off")).alias("at"), F.col(x)["t"].alias("t"), F.col(x)["v"].alias("v")))
     ends = ends.select(*key, "__off", *(moved(f"__{x}_{c}").alias(f"__{x}_{c}") for c in cols for x in "az"))
     back = W.Window.partitionBy(*entity).orderBy(F.col(part).desc()).rowsBetween(W.Window.unboundedPreceding, -1)
     ends = ends.select(*key, "__off", *(f for c in cols for f in (F.last(f"__z_{c}", ignorenulls=True).over(before).alias(f"__zp_{c}"), F.last(f"__a_{c}", ignorenulls=True).over(back).alias(f"__aq_{c}"))))
@@ -106,7 +141,7 @@ def _fill_hot(df: DataFrame, entity: Sequence[str], order: Sequence[str], numeri
     df = df.withColumn("__rn", F.col("__rn") + F.col("__off"))
     for c in cols:
         df = df.withColumn(f"__p_{c}", F.coalesce(moved(f"__p_{c}"), f"__zp_{c}")).withColumn(f"__q_{c}", F.coalesce(moved(f"__q_{c}"), f"__aq_{c}"))
-    return _settle(df, numeric, categorical, max_gap).drop("__rn", "__off", part, *(f"__{x}_{c}" for c in cols for x in ("p", "q", "zp", "aq")))
+    return _settle(df, rule).drop("__rn", "__off", part, *(f"__{x}_{c}" for c in cols for x in ("p", "q", "zp", "aq")))
 
 
 def fill_vectors(df: DataFrame, key: str, column: str, axis: Sequence[tuple[int, str | None, float]], low: float = 0.0, high: float = 1.0) -> DataFrame:

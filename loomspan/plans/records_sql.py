@@ -18,7 +18,7 @@ union all
 select src, call_id, 0 from v join (select distinct src, row_id, population from v where ok) using (src, row_id, population) where not ok
 """
 
-_P6 = r"""
+_P6_MATCHED = r"""
 with l as (select distinct file_id, stream_id, file_seq, vcf_format, unnest(calls) as call from vcf_batches),
 z as (select file_id, stream_id, file_seq, string_split(vcf_format, ':') as tags, string_split(call, ':') as vals from l),
 y as (select file_id, stream_id, file_seq, unnest(tags) as tag, unnest(range(1, len(tags) + 1)) as k, vals from z),
@@ -37,6 +37,9 @@ b as (select files.file_id, n.tag, n.kind, n.descr from files join f n on n.file
 gone as (select a.* from a anti join b using (file_id, tag)),
 new as (select b.* from b anti join a using (file_id, tag)),
 ren as (select new.file_id, new.tag, gone.tag as old, new.kind, gone.kind as old_kind from new join gone on new.file_id = gone.file_id and new.descr = gone.descr and new.descr <> '')
+"""
+
+_P6 = _P6_MATCHED + r"""
 select file_id, tag, 'renamed' as change_kind from ren
 union all select file_id, tag, 'added' from new anti join ren using (file_id, tag)
 union all select file_id, gone.tag, 'removed' from gone where not exists (select 1 from ren where ren.file_id = gone.file_id and ren.old = gone.tag)
@@ -44,6 +47,31 @@ union all select b.file_id, b.tag, 'retyped' from a join b using (file_id, tag)
 union all select file_id, tag, 'retyped' from ren where kind <> old_kind and tag <> 'GT'
 """
 
+# a field's chain along its stream, its commonest description, and the tag that most files use for that
+_P6_CALLS = _P6_MATCHED.replace("with l as", "with recursive l as", 1) + r""",
+chain as (
+  select f.file_id, f.tag, f.descr, f.file_id as root_file, f.tag as root_tag from f join files using (file_id)
+  where not exists (select 1 from f p where p.file_id = files.was and p.tag = f.tag) and not exists (select 1 from ren where ren.file_id = f.file_id and ren.tag = f.tag)
+  union all
+  select f.file_id, f.tag, f.descr, chain.root_file, chain.root_tag from chain join files on files.was = chain.file_id join f on f.file_id = files.file_id
+  where f.tag = chain.tag or exists (select 1 from ren where ren.file_id = f.file_id and ren.old = chain.tag and ren.tag = f.tag)),
+dc as (select descr, arg_min(tag, struct_pack(a := -n, b := tag)) as name from (select descr, tag, count(*) as n from f where descr <> '' group by all) group by descr),
+mc as (select root_file, root_tag, arg_min(descr, struct_pack(a := -n, b := descr)) as descr from (select root_file, root_tag, descr, count(*) as n from chain where descr <> '' group by all) group by all),
+oc as (select root_file, root_tag, min(tag) as own from chain group by all),
+wn as (select chain.file_id, chain.tag, coalesce(dc.name, oc.own) as name from chain join oc using (root_file, root_tag) left join mc using (root_file, root_tag) left join dc on dc.descr = mc.descr),
+rk as (select *, row_number() over (partition by file_id, name order by tag <> name, tag) = 1 as has from wn),
+gv as (select file_id, list(name) as given from rk where has group by file_id),
+nm as (select file_id, tag, case when has then name when list_contains(given, tag) then tag || '~' else tag end as name from rk join gv using (file_id)),
+li as (select file_id, line_no, any_value(chrom) as chrom, any_value(pos) as pos, any_value(ref_allele) as ref_allele, any_value(string_split(vcf_format, ':')) as tags, any_value(calls) as calls from vcf_batches where vcf_format is not null group by all),
+ca as (select * exclude (calls), unnest(calls) as call, unnest(range(1, len(calls) + 1)) as call_no from li),
+ce as (select file_id, line_no, call_no, unnest(tags) as tag, unnest(range(1, len(tags) + 1)) as k, string_split(call, ':') as vals from ca),
+va as (select ce.file_id, line_no, call_no, name, k, nullif(nullif(vals[k], '.'), '') as v from ce join nm using (file_id, tag)),
+un as (select file_id, line_no, call_no, name, arg_min(v, k) as v, min(k) as k from va where v is not null group by all),
+ro as (select file_id, line_no, call_no, max(v) filter (name = 'GT') as gt, max(trunc(try_cast(v as double))::bigint) filter (name = 'RO') as ro, max(trunc(try_cast(v as double))::bigint) filter (name = 'AO') as ao,
+  '{' || coalesce(string_agg('"' || name || '":"' || v || '"', ',' order by k) filter (name not in ('GT', 'RO', 'AO')), '') || '}' as rest from un group by all)
+select ca.file_id, ca.line_no, chrom, pos, ref_allele, ca.call_no::int as call_no, gt, ro, ao, case when call is not null then coalesce(rest, '{}') end as rest from ca left join ro using (file_id, line_no, call_no)
+"""
+
 _P7_ROWS = r"""
 with r as (select file_id, line_no, regexp_replace(any_value(raw_line), '\r$', '') as line from vcf_raw_lines where raw_line is not null group by file_id, line_no),
 w as (select file_id, arg_min(len(string_split(line, chr(9))), line_no) as width from r where starts_with(line, '#CHROM') group by file_id),
@@ -63,6 +91,7 @@ j as (select *, case
 SQL = {
     "p5_found": _P5,
     "p6_found": _P6,
+    "p6_calls": _P6_CALLS,
     "p7_found": _P7_ROWS + "select file_id, line_no, reason from j where reason is not null",
     "p7_valid": _P7_ROWS + "select file_id, line_no, f[1] as chrom, f[2]::bigint as pos, f[3] as id, f[4] as \"ref\", f[5] as alt, try_cast(f[6] as double) as qual, f[7] as \"filter\", f[8] as info, f[9] as format, f[10:] as calls from j where reason is null",
 }

@@ -31,3 +31,40 @@ def test_unified(spark):
     every = lines.unionByName(extra)
     got = {(r.file_id, r.call_no): (r.ro, r.ao) for r in drift.unified_calls(every, drift.profile(every, heads)).collect()}
     assert got == {(1, 1): (1, 2), (2, 1): (8, 7), (2, 2): (None, None), (3, 1): (4, None)}
+
+
+SCHEMA = "file_id long, line_no int, stream_id string, file_seq int, chrom string, pos long, ref_allele string, vcf_format string, calls array<string>"
+
+
+def _line(file, seq, fmt, *calls, stream="s"):
+    return file, 1, stream, seq, "c", 5, "A", fmt, list(calls)
+
+
+def test_two_tags_of_one_description(spark):
+    lines = spark.createDataFrame([_line(1, 1, "GT:X1:X2", "0/0:5:6"), _line(2, 2, "GT:X2:X1", "0/1:7:8")], SCHEMA)
+    heads = spark.createDataFrame([(f, t, "same") for f in (1, 2) for t in ("X1", "X2")], "file_id long, tag string, descr string")
+    got = {r.file_id: r.rest for r in drift.unified_calls(lines, drift.profile(lines, heads)).collect()}
+    assert got == {1: {"X1": "5", "X2": "6"}, 2: {"X1": "8", "X2": "7"}}
+
+
+def test_fields_follow_their_renames(spark):
+    """RO becomes R1, R2 and R3 along a stream and is called so elsewhere; in the last file AO has no description of its own."""
+    names = ["RO", "R1", "R2", "R3"]
+    rows = [_line(k + 1, k, f"GT:{n}:AO", f"0/0:{k}:9") for k, n in enumerate(names)] + [_line(10, 1, "GT:RO", "1/1:4", stream="t"), _line(11, 2, "GT:RX", "1/1:5", stream="t"), _line(12, None, "GT:RX", "1/1:6", stream=None)]
+    lines = spark.createDataFrame(rows, SCHEMA)
+    heads = spark.createDataFrame([(k + 1, n, "reference reads") for k, n in enumerate(names)] + [(10, "RO", "Reference  Reads"), (11, "RX", "reference reads"), (12, "RX", None), (1, "AO", "alternate reads")], "file_id long, tag string, descr string")
+    profiles = drift.profile(lines, heads)
+    got = {r.file_id: (r.ro, r.ao, r.rest) for r in drift.unified_calls(lines, profiles).collect()}
+    assert got == {1: (0, 9, {}), 2: (1, 9, {}), 3: (2, 9, {}), 4: (3, 9, {}), 10: (4, None, {}), 11: (5, None, {}), 12: (None, None, {"RX": "6"})}
+    of = {(r.file_id, r.tag): r.field for r in drift.fields(profiles, drift.changes(profiles)).collect()}
+    assert len({of[k + 1, n] for k, n in enumerate(names)}) == 1 and len({of[k, "AO"] for k in (1, 2, 3, 4)}) == 1 and of[12, "RX"] != of[11, "RX"]
+
+
+def test_matching_without_descriptions(spark):
+    """Values tell which of two new text fields continues the old one, numbers which number does."""
+    lines = spark.createDataFrame([_line(1, 1, "GT:PHASE:QA", "0/0:left:30", "0/1:right:34"), _line(2, 2, "GT:PH:ZZ:QAL", "0/0:left:zzzz:31", "0/1:right:y:33")], SCHEMA)
+    heads = spark.createDataFrame([], "file_id long, tag string, descr string")
+    profiles = drift.profile(lines, heads)
+    got = {(r.tag, r.change_kind, r.was) for r in drift.changes(profiles, by_descr=False).collect()}
+    assert got == {("PH", "renamed", "PHASE"), ("QAL", "renamed", "QA"), ("ZZ", "added", None)}
+    assert {r.change_kind for r in drift.changes(profiles).collect()} == {"added", "removed"}

@@ -1,6 +1,9 @@
 import math
 
-from loomspan.operators.fill import fill_in_order, fill_vectors
+from pyspark.sql import functions as F
+
+from loomspan.operators.fill import between_numbers, fill_in_order, fill_vectors
+from loomspan.plans.records import _between_depths
 
 
 def _rows(df):
@@ -38,3 +41,22 @@ def test_vectors(spark):
     assert set(got) == {(1, 1), (2, 0), (2, 1), (5, 0)}
     assert abs(got[1, 1].value - 0.3) < 1e-12 and got[1, 1].method == "interpolated"
     assert got[2, 0].method == "carried_back" and got[2, 0].distance == 2
+
+
+def test_time_lists_and_far_values(spark):
+    rows = [(1, "a", 0.0, 1.0, "2,4"), (2, "a", 1.0, None, None), (3, "a", 10.0, 11.0, "4,8"), (4, "a", 10.0, None, None), (5, "a", 10.0, 21.0, "x"), (6, "a", None, None, None), (7, "a", 12.0, None, None)]
+    df = spark.createDataFrame(rows, "id long, e string, t double, n double, c string")
+    half = lambda a, b, share: F.when(~F.concat(a, b).contains("x"), F.concat(a, F.lit(">"), b))
+    got = {}
+    for hot in (1000, 2):
+        out = fill_in_order(df, ["e"], ["id"], {"n": between_numbers, "c": half}, time="t", far_gap=1, hot_rows=hot)
+        got[hot] = {r.id: (r.n_filled, r.n_method, r.c_filled, r.c_method, r.c_distance) for r in out.collect()}
+    assert got[1000] == got[2]
+    assert got[2][2] == (2.0, "interpolated", "2,4>4,8", "interpolated", 1)
+    assert got[2][4] == (16.0, "interpolated", "4,8", "carried_forward", 1)  # one time on both sides; an x can't be divided
+    assert got[2][6] == (21.0, "carried_forward", "x", "carried_forward", 1) and got[2][7][1] == "carried_forward_far"
+
+
+def test_packed_depths(spark):
+    df = spark.createDataFrame([("10,20", "20|40"), ('"1; .;3"', "(3,5,5)"), ("1,2", "1,2,3")], "a string, b string")
+    assert [r[0] for r in df.select(_between_depths(F.col("a"), F.col("b"), F.lit(0.5))).collect()] == ["15,30", "2,.,4", None]
