@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,8 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.kernels import f_sf, t_sf2
+from ..runtime import small
 from .fill import dense
-from .structure import _filled
+from .structure import MOST_SAMPLES, _filled
 
 MODELS = ("ADDITIVE", "SIMPLEX", "DUPLEX", "TRIPLEX", "SIMPLEX_REF", "DUPLEX_REF", "TRIPLEX_REF", "GENERAL")
 #: Markers of a chromosome below which it shares a group with the others like it.
@@ -141,12 +143,14 @@ def markers(sites: DataFrame, ploidy: int, maf: float = 0.05, max_missing: float
 def loco_groups(sites: DataFrame) -> DataFrame:
     """sites with `grp`: their chromosome, or a common name for those of few markers."""
     n = sites.groupBy("chrom").agg(F.count(F.lit(1)).alias("__n"))
-    return sites.join(F.broadcast(n.limit(1_000_000)), "chrom").withColumn("grp", F.when(F.col("__n") < LEAST_MARKERS, "__small__").otherwise(F.col("chrom"))).drop("__n")
+    return sites.join(small(n), "chrom").withColumn("grp", F.when(F.col("__n") < LEAST_MARKERS, "__small__").otherwise(F.col("chrom"))).drop("__n")
 
 
 def loco_kinships(sites: DataFrame, ploidy: int) -> dict[str, np.ndarray]:
     """The kinship without each group, from one pass: the sums of a group are taken from those of all."""
-    n = sites.agg(F.max(F.size("d"))).first()[0]
+    n = sites.agg(F.max(F.size("d"))).first()[0] or 0
+    if n > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -269,16 +273,28 @@ def offsets(hits: DataFrame, gap: int = 5_000_000) -> DataFrame:
 
 
 def lead_markers(hits: DataFrame, reach: int = 5_000_000) -> DataFrame:
-    """The hits left when, by p, each within `reach` of a better one that is left goes; per chromosome, on hits already cut to significant ones."""
+    """The hits left when, by p and then marker, each within `reach` of a better one of its chromosome that is left goes.
+
+    Hits without chromosome, position or p are left out; of equal hits one is left. Only places are sent to the chromosome's task,
+    where a hit's neighbours among the kept are found by bisection; hits of one stretch of that width are all near each
+    other, so a chromosome keeps no more than its length over `reach`, twice."""
+    place = ["chrom", "p", "marker", "pos"]
+    held = hits.filter(F.col("chrom").isNotNull() & F.col("pos").isNotNull() & F.col("p").isNotNull())
+    kinds = dict(hits.dtypes)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["p", "marker"])
-        pos, kept = pdf.pos.to_numpy(), []
-        for i, x in enumerate(pos):
-            if all(abs(x - pos[j]) > reach for j in kept):
-                kept.append(i)
-        return pdf.iloc[kept]
+        pdf = pdf.sort_values(["p", "marker", "pos"], kind="stable")
+        kept, chosen = [], []
+        for i, x in enumerate(pdf["pos"].tolist()):
+            at = bisect.bisect_left(kept, x)
+            if (at == len(kept) or kept[at] - x > reach) and (at == 0 or x - kept[at - 1] > reach):
+                kept.insert(at, x)
+                chosen.append(i)
+        return pdf.iloc[chosen]
 
-    return hits.groupBy("chrom").applyInPandas(run, hits.schema)
+    leads = held.select(*place).groupBy("chrom").applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in place))
+    first = held.withColumn("__n", F.row_number().over(W.Window.partitionBy(*place).orderBy(F.lit(0)))).filter("__n = 1").drop("__n")
+    return first.join(leads, place, "left_semi")
 
 
 def epistasis(sites: DataFrame, leads: DataFrame, y: np.ndarray, kinship: np.ndarray, covariates: np.ndarray | None = None, most: float = 1e-4) -> DataFrame:
@@ -310,7 +326,7 @@ def epistasis(sites: DataFrame, leads: DataFrame, y: np.ndarray, kinship: np.nda
                         out.append((lead, m, p, float(b[-1])))
             yield pd.DataFrame(out, columns=["marker1", "marker2", "p", "effect"])
 
-    return sites.select("marker", "d").mapInPandas(run, "marker1 string, marker2 string, p double, effect double")
+    return sites.select("marker", "d").mapInPandas(run, "marker1 string, marker2 string, p double, effect double").orderBy("p", "marker1", "marker2")
 
 
 def phenotypes_by_dosage(hits: DataFrame, sites: DataFrame, pheno: DataFrame, most: float = 0.001) -> DataFrame:

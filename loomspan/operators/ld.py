@@ -30,6 +30,8 @@ def mean_maf(d: Column) -> Column:
     return F.when(F.size(held) > 0, F.least(f, 1 - f))
 
 
+#: Most bins that a curve is fitted to.
+MOST_BINS = 1_000_000
 #: Sites of one side of a block whose pairs are computed at once.
 BLOCK = 512
 
@@ -131,7 +133,9 @@ def select_curve(x: np.ndarray, y: np.ndarray, points: int = 300) -> dict:
 
 def fit_decay(decay: DataFrame, width: int = 1000, points: int = 300) -> DataFrame:
     """One row with the curve that fits the bins best; bins are as many as the window over their width."""
-    rows = decay.select("bin", "mean_r2").orderBy("bin").limit(1_000_000).toPandas()
+    rows = decay.select("bin", "mean_r2").orderBy("bin").limit(MOST_BINS + 1).toPandas()
+    if len(rows) > MOST_BINS:
+        raise ValueError(f"more than {MOST_BINS} bins: use wider ones")
     c = select_curve((rows["bin"].to_numpy(float) + 0.5) * width, rows["mean_r2"].to_numpy(float), points)
     return decay.sparkSession.createDataFrame([(c["name"], c["equation"], c["r2"], c["x"], c["y"])], "name string, equation string, r2 double, x array<double>, y array<double>")
 

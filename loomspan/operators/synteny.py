@@ -92,9 +92,12 @@ def chromosome_ks(pairs: DataFrame, low: float = 0.01, high: float = 3.0) -> Dat
     return pairs.filter((F.col("ks") > low) & (F.col("ks") < high)).groupBy("chrom1", "chrom2").agg(F.avg("ks").alias("mean_ks"), F.count(F.lit(1)).alias("n"))
 
 
-def chromosome_tree(means: DataFrame, most: int = 5000) -> str | None:
-    """Neighbour joining of chromosomes (G1_, G2_) by mean Ks; absent pairs are 1.5 times the greatest. None under 3."""
-    rows = means.limit(most * most).collect()
+def chromosome_tree(means: DataFrame, most: int = 2000) -> str | None:
+    """Neighbour joining of chromosomes (G1_, G2_) by mean Ks; absent pairs are 1.5 times the greatest. None under 3, an error for more than `most` of a genome."""
+    for k in (1, 2):
+        if means.select(f"chrom{k}").distinct().limit(most + 1).count() > most:
+            raise ValueError(f"more than {most} chromosomes")
+    rows = means.collect()
     labels = sorted({f"G1_{r.chrom1}" for r in rows} | {f"G2_{r.chrom2}" for r in rows})
     if len(labels) < 3:
         return None

@@ -43,9 +43,9 @@ m as (select chrom, pos, avg(d) as f from g group by all),
 k as (select * from m where least(f, 1 - f) >= 0.05),
 h as (select g.* from g join k using (chrom, pos)),
 pr as (select a.chrom, a.pos as pos1, b.pos as pos2, b.pos - a.pos as distance, count(*) as n, sum(a.d) as sa, sum(b.d) as sb, sum(a.d * a.d) as aa, sum(b.d * b.d) as bb, sum(a.d * b.d) as ab
-  from h a join h b on a.chrom = b.chrom and a.sample = b.sample and b.pos > a.pos and b.pos - a.pos <= 200 group by all),
+  from h a join h b on a.chrom = b.chrom and a.sample = b.sample and b.pos > a.pos and b.pos - a.pos <= 50000 group by all),
 ld as (select chrom, pos1, pos2, distance, case when n * aa - sa * sa <= 1e-9 or n * bb - sb * sb <= 1e-9 then 0 else (n * ab - sa * sb) * (n * ab - sa * sb) / ((n * aa - sa * sa) * (n * bb - sb * sb)) end as r2 from pr where n >= 3),
-dc as (select floor(distance / 20)::bigint as bin, round(avg(r2), 9) as mean_r2, count(*) as n from ld group by 1)
+dc as (select floor(distance / 1000)::bigint as bin, round(avg(r2), 9) as mean_r2, count(*) as n from ld group by 1)
 """
 _KIN = _CELLS + """,
 c as (select pos, sample, floor(d * 10 + 0.5) as x from dos),
@@ -123,7 +123,7 @@ p as (select *, (2 * n0 + n1) / (2 * n) as p from n)
 select row_id, n0, n1, n2, round(case when 2 * p * (1 - p) * n > 0 then (n1 - 2 * p * (1 - p) * n) * (n1 - 2 * p * (1 - p) * n) / (2 * p * (1 - p) * n) end, 9) as chi2 from p""",
     "merge_full_outer": _CELLS + """,
 c as (select chrom, pos, sample, ref_d::bigint || ',' || alt_d::bigint as call from cells),
-f as (select * from c where sample < 15 and pos % 3 <> 0), s as (select * from c where sample >= 10 and pos % 5 <> 0),
+f as (select * from c where sample < 15), s as (select * from c where sample >= 10),
 st as (select distinct chrom, pos from f union select distinct chrom, pos from s)
 select st.chrom, st.pos, string_agg(coalesce(f.call, s.call, './.'), ' ' order by axis.sample) as calls
 from st cross join axis left join f on f.pos = st.pos and f.sample = axis.sample left join s on s.pos = st.pos and s.sample = axis.sample group by all""",
@@ -139,17 +139,17 @@ select hit_id, rank, round(-log10(rank / (select count(*) from h)), 9) as expect
     "chrom_offsets": _HITS + """, c as (select chrom, max(pos) as max_pos, regexp_matches(lower(chrom), '^(chr|ch|[0-9])') as main, coalesce(try_cast(regexp_replace(chrom, '[^0-9]', '', 'g') as bigint), 1099511627776) as num from h where chrom is not null group by chrom)
 select chrom, max_pos, coalesce(sum(max_pos + 5000000) over (order by num, chrom rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from c where main
 union all select chrom, max_pos, (select coalesce(sum(max_pos + 5000000), 0) from c where main)::bigint from c where not main""",
-    "orphans_anti": _GENES + "select gene_id from genes where odd = 0 and gene_id not in (select gene1 from ln where k < 20)",
-    "synteny_report_counts": _GENES + """, l as (select * from ln where k < 20),
+    "orphans_anti": _GENES + "select gene_id from genes where odd = 0 and gene_id not in (select gene1 from ln)",
+    "synteny_report_counts": _GENES + """, l as (select * from ln),
 r as (select 'Syntenic' as status, a.chrom as chrom1, b.chrom as chrom2 from l left join genes a on a.gene_id = l.gene1 and a.odd = 0 left join genes b on b.gene_id = l.gene2 and b.odd = 1
 union all select 'Orphan_G1', chrom, null from genes where odd = 0 and gene_id not in (select gene1 from l) union all select 'Orphan_G2', null, chrom from genes where odd = 1 and gene_id not in (select gene2 from l))
 select status, chrom1, chrom2, count(*) as n from r group by all""",
     "block_bounding_box": _GENES + "select block_id, arg_max(chrom, row(ord, \"start\", \"end\", chrom)) as chrom, min(\"start\") as \"start\", max(\"end\") as \"end\" from ln join genes on gene_id = gene1 group by block_id",
     "interval_overlap_semi": _GENES + ", sv as (select p_brand as chrom, p_partkey * 10 - 60 as s, p_partkey * 10 + 60 as e from part where p_size > 45)\nselect gene_id from genes where odd = 0 and exists (select 1 from sv where sv.chrom = genes.chrom and sv.s <= genes.\"end\" and sv.e >= genes.\"start\")",
     "snp_in_interval_count": _GENES + "select gene_id, count(*) as n from genes join part on p_brand = chrom and p_partkey * 10 between \"start\" - 500 and \"end\" + 500 where odd = 0 group by gene_id",
-    "window_gene_join": _GENES + """, m as (select 'm' || p_partkey as marker, p_brand as chrom, p_partkey * 10 + 3 as pos from part where p_size <= 10)
+    "window_gene_join": _GENES + """, m as (select 'm' || p_partkey as marker, p_brand as chrom, p_partkey * 10 + 3 as pos from part)
 select marker, gene_id, case when odd = 0 then 'primary' else 'secondary' end as source, case when pos between "start" and "end" then 0 else least(abs(pos - "start"), abs(pos - "end")) end as distance
-from m join genes on genes.chrom = m.chrom and "start" <= pos + 400 and "end" >= greatest(pos - 400, 1)""",
+from m join genes on genes.chrom = m.chrom and "start" <= pos + 5000 and "end" >= greatest(pos - 5000, 1)""",
     "nearby_snp_count": "select a.p_partkey, count(*) as near from part a join part b on a.p_brand = b.p_brand and abs(a.p_partkey - b.p_partkey) < 30 group by a.p_partkey",
     "ks_histogram_smooth_peaks": _GENES + """, k as (select (k + 0.5::double) / 100 as ks from ln),
 n as (select floor((ks - 0.01::double) / 0.05::double)::bigint as bin, count(*) as n from k where ks > 0.01 and ks < 3 group by 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.names import gene_key
+from ..runtime import small
 
 _AT = lambda c, i: F.get(c, F.lit(i))
 
@@ -14,10 +15,20 @@ _AT = lambda c, i: F.get(c, F.lit(i))
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): every line with its place in its file, carriage returns dropped.
 
-    The place is the byte block's order within the file, then the line's in the block: read with one split per
-    file unless the format splits, in which case monotonically increasing ids follow the splits."""
+    The place is where the line's block of the file begins and the line's number in its task: a task holds fewer
+    lines than a block has bytes, so places ascend and are unique within a file, however it is split."""
     df = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("value"))
-    return df.select("file", (F.col("block") * F.lit(1 << 20) + F.col("id") % F.lit(1 << 33)).alias("line_no"), "value")
+    return df.select("file", (F.col("block") + F.col("id") % F.lit(1 << 33)).alias("line_no"), "value")
+
+
+def with_row_ids(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """rows (file, line_no, ...) with `row_id`: unique over all files of the path, in the order of their names, then of lines."""
+    files = sorted(spark.read.text(path).inputFiles())
+    if len(files) == 1:
+        return rows.withColumn("row_id", F.col("line_no"))
+    places = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, __i long")
+    missing = F.raise_error(F.concat(F.lit("a file came while it was read: "), "file")).cast("long")
+    return rows.join(small(places), "file", "left").withColumn("row_id", F.coalesce("__i", missing) * F.lit(1 << 40) + F.col("line_no")).drop("__i")
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
@@ -34,12 +45,15 @@ def java_split(c: Column, sep: str = "\t") -> Column:
 
 
 def read_vcf(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """(row_id, chrom, pos, id, ref, alt, qual, filter, info, format, calls). strict: lines shorter than the header are dropped; else their calls are short."""
-    rows = lines(spark, path).filter(~F.col("value").startswith("#") & (F.col("value") != "")).select("line_no", java_split(F.col("value")).alias("f"))
+    """(row_id, chrom, pos, id, ref, alt, qual, filter, info, format, calls). strict: lines shorter than their own file's header are dropped; else their calls are short."""
+    every = lines(spark, path)
+    rows = every.filter(~F.col("value").startswith("#") & (F.col("value") != "")).select("file", "line_no", java_split(F.col("value")).alias("f"))
     if strict:
-        rows = rows.filter(F.size("f") >= 9 + len(vcf_samples(spark, path)))
+        heads = every.filter(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.min_by(F.size(F.split("value", "\t", -1)), "line_no").alias("__width"))
+        rows = rows.join(small(heads), "file").filter(F.size("f") >= F.col("__width")).drop("__width")
+    rows = with_row_ids(rows, spark, path)
     names = ("id", "ref", "alt", "qual", "filter", "info", "format")
-    return rows.select(F.col("line_no").alias("row_id"), _AT("f", 0).alias("chrom"), _AT("f", 1).try_cast("long").alias("pos"), *(_AT("f", i + 2).alias(n) for i, n in enumerate(names)), F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("calls"))
+    return rows.select("row_id", _AT("f", 0).alias("chrom"), _AT("f", 1).try_cast("long").alias("pos"), *(_AT("f", i + 2).alias(n) for i, n in enumerate(names)), F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("calls"))
 
 
 def info_value(info: Column, key: str) -> Column:
@@ -166,7 +180,8 @@ def read_population_map(spark: SparkSession, path: str) -> DataFrame:
     """(sample, population, rank): rank is the order in which populations are first seen."""
     t = lines(spark, path).filter((F.trim("value") != "") & ~F.col("value").startswith("#")).select("line_no", F.split("value", "\t").alias("f")).filter(F.size("f") >= 2).select("line_no", F.trim(_AT("f", 0)).alias("sample"), F.trim(_AT("f", 1)).alias("population"))
     seen = t.groupBy("population").agg(F.min("line_no").alias("n"))
-    return t.join(F.broadcast(seen.limit(100_000).withColumn("rank", F.row_number().over(W.Window.orderBy("n"))).drop("n")), "population").select("sample", "population", "rank")
+    # ranks are of populations, which are fewer than samples: one sorted task
+    return t.join(small(seen.withColumn("rank", F.row_number().over(W.Window.orderBy("n", "population"))).drop("n")), "population").select("sample", "population", "rank")
 
 
 def read_square(spark: SparkSession, path: str) -> DataFrame:
