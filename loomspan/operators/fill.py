@@ -118,6 +118,14 @@ def _fill(df: DataFrame, part: list[str], order: Sequence[str], rule: _Rule) ->
     return _settle(_neighbours(df, part, order, rule), rule).drop("__rn", *(f"__{x}_{c}" for c in rule.cols for x in "pq"))
 
 
+def carry_forward(df: DataFrame, entity: Sequence[str], order: Sequence[str], column: str, into: str) -> DataFrame:
+    """df with `into`: the last value of `column` that isn't null, up to the row itself, in the entity's order; null before the first.
+
+    Null entities are one of their own; ties in `order` fall in some order, so end it with a unique column."""
+    upto = W.Window.partitionBy(*entity).orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
+    return df.withColumn(into, F.last(column, ignorenulls=True).over(upto))
+
+
 def _place(c: str) -> Column:
     return F.when(F.col(c).isNotNull(), F.col("__rn"))
 

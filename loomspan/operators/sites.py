@@ -102,6 +102,13 @@ def sample_summary(calls: DataFrame, sample: str, gt: str) -> DataFrame:
     return z.groupBy(sample).agg(F.count(F.lit(1)).alias("calls"), n("missing").alias("missing"), n("het").alias("het"), n("hom_ref").alias("hom_ref"), n("hom_alt").alias("hom_alt"), F.when(F.count_if(F.col("z") != "missing") > 0, n("het") / F.count_if(F.col("z") != "missing")).alias("obs_het"))
 
 
+def mean_heterozygosity(calls: DataFrame, site: list[str], gt: str) -> DataFrame:
+    """One row: mean_eh, the mean over the sites of what is expected by the shares of their alleles; sites without a called allele don't count."""
+    a = calls.select(*site, F.explode(C.alleles(F.col(gt))).alias("__a")).groupBy(*site, "__a").agg(F.count(F.lit(1)).alias("__n"))
+    eh = a.groupBy(*site).agg((1 - F.sum(F.col("__n") * F.col("__n")) / (F.sum("__n") * F.sum("__n"))).alias("eh"))
+    return eh.agg(F.avg("eh").alias("mean_eh"))
+
+
 def inbreeding(summary: DataFrame, mean_eh: DataFrame) -> DataFrame:
     """summary with f = 1 - observed / mean expected heterozygosity (one row: mean_eh)."""
     return summary.crossJoin(F.broadcast(mean_eh.limit(1))).withColumn("f", F.when(F.col("mean_eh") > 0, 1 - F.col("obs_het") / F.col("mean_eh"))).drop("mean_eh")

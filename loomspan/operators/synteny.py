@@ -110,10 +110,20 @@ def chromosome_tree(means: DataFrame, most: int = 2000) -> str | None:
     return neighbour_joining(d, labels)
 
 
+def term_counts(background: DataFrame) -> DataFrame:
+    """(term, n): the genes of each term, each once; of (gene_id, term)."""
+    return background.filter(F.col("term").isNotNull()).groupBy("term").agg(F.countDistinct("gene_id").alias("n"))
+
+
+def union_background(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(gene_id, term) of both genomes; a gene that is in both has the second's terms."""
+    return first.join(second.select("gene_id").distinct(), "gene_id", "left_anti").select("gene_id", "term").unionByName(second.select("gene_id", "term"))
+
+
 def go_enrichment(study: DataFrame, background: DataFrame, by: str = "block_id", most: float = 0.05) -> DataFrame:
     """(by, term, hits, draws, good, total, p, q): terms of (by, gene_id, term) against (gene_id, term); p under `most` before the rates are computed."""
     total = background.select("gene_id").distinct().count()
-    good = background.groupBy("term").agg(F.countDistinct("gene_id").alias("good"))
+    good = term_counts(background).withColumnRenamed("n", "good")
     draws = study.groupBy(by).agg(F.countDistinct("gene_id").alias("draws"))
     k = study.filter(F.col("term").isNotNull()).groupBy(by, "term").agg(F.countDistinct("gene_id").alias("hits")).join(small(good), "term").join(small(draws), by)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import calls as C
 from ..functions import names as N
 from ..functions import sequences as Q
-from ..operators import dosage, gwas, ld, merge, ranges, sites, structure, synteny
+from ..operators import dosage, fill, gwas, ld, merge, ranges, sites, structure, synteny
 from ..runtime import cut, once_per, small, table
 from . import genotype as G
 
@@ -189,7 +189,7 @@ def variant_class_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def density_bins(spark: SparkSession, d: str) -> DataFrame:
-    return sites.density(_variants(spark, d))
+    return sites.density(_variants(spark, d).withColumn("chrom", N.chromosome_key(F.col("chrom"))))
 
 
 def marker_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -208,9 +208,7 @@ def sample_call_summary(spark: SparkSession, d: str) -> DataFrame:
 def sample_inbreeding(spark: SparkSession, d: str) -> DataFrame:
     """Observed heterozygosity of each sample against the mean expected one of the sites."""
     g = _gts(spark, d)
-    a = g.select("row_id", F.explode(C.alleles(F.col("gt"))).alias("a")).groupBy("row_id", "a").agg(F.count(F.lit(1)).alias("n"))
-    eh = a.groupBy("row_id").agg((1 - F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("eh")).agg(F.avg("eh").alias("mean_eh"))
-    return sites.inbreeding(sites.sample_summary(g, "sample_id", "gt"), eh).select("sample_id", _R("f").alias("f"))
+    return sites.inbreeding(sites.sample_summary(g, "sample_id", "gt"), sites.mean_heterozygosity(g, ["row_id"], "gt")).select("sample_id", _R("f").alias("f"))
 
 
 def hwe_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -268,11 +266,12 @@ def lambda_median_pick(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chrom_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return gwas.offsets(_hits(spark, d).filter("chrom is not null"))
+    return gwas.offsets(_hits(spark, d).filter("chrom is not null").withColumn("chrom", N.chromosome_key(F.col("chrom"))))
 
 
 def lead_snps(spark: SparkSession, d: str) -> DataFrame:
-    return gwas.lead_markers(_hits(spark, d).filter("p < 0.001")).select("hit_id", "chrom", "pos", "p")
+    """The leads among all hits of a chromosome, whatever its spelling."""
+    return gwas.lead_markers(_hits(spark, d).withColumn("chrom", N.chromosome_key(F.col("chrom")))).select("hit_id", "chrom", "pos", "p")
 
 
 def _phenotype(spark: SparkSession, d: str) -> np.ndarray:
@@ -332,7 +331,8 @@ def block_bounding_box(spark: SparkSession, d: str) -> DataFrame:
 
 def interval_overlap_semi(spark: SparkSession, d: str) -> DataFrame:
     g = _genes(spark, d, 0)
-    sv = table(spark, d, "part").filter("p_size > 45").select(F.col("p_brand").alias("chrom"), (F.col("p_partkey") * 10 - 60).alias("start"), (F.col("p_partkey") * 10 + 60).alias("end"))
+    s = table(spark, d, "supplier")
+    sv = s.select(F.format_string("Brand#%d%d", (F.col("s_suppkey") % 5 + 1).cast("int"), (F.col("s_nationkey") % 5 + 1).cast("int")).alias("chrom"), (F.col("s_suppkey") * 200).alias("start"), (F.col("s_suppkey") * 200 + F.col("s_nationkey") * 10).alias("end"))
     return synteny.sv_flags(g.withColumnRenamed("gene_id", "block_id"), sv).withColumnRenamed("block_id", "gene_id")
 
 
@@ -376,7 +376,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def go_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(spark, d).groupBy("term").agg(F.countDistinct("gene_id").alias("n"))
+    return synteny.term_counts(_terms(spark, d))
 
 
 def go_enrichment(spark: SparkSession, d: str) -> DataFrame:
@@ -387,12 +387,9 @@ def go_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forward_fill_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Each event with the last earlier `purchase` (else any first type) of its user."""
-    from pyspark.sql import window as W
-
-    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    w = W.Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.Window.unboundedPreceding, 0)
-    return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("block_id"))
+    """Each event with the last `purchase` of its user up to it."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("head"))
+    return fill.carry_forward(e, ["user_id"], ["ts", "event_id"], "head", "block_id").select("event_id", "block_id")
 
 
 def _bases(spark: SparkSession, d: str) -> DataFrame:

@@ -37,6 +37,11 @@ def _distance(expr: str) -> str:
 select x.sample::bigint as i, y.sample::bigint as j, round(value, 9) as value, coalesce(n, 0) as shared from axis x join axis y on x.sample < y.sample left join v on v.i = x.sample and v.j = y.sample"""
 
 
+def _key(c: str) -> str:
+    """One spelling of a chromosome's name."""
+    return rf"regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '^(chromosome|chr)', ''), '^[_-]', ''), '^0+(.)', '\1')"
+
+
 _LD = _CELLS + """,
 g as (select chrom, pos, sample, d from dos where depth >= 5),
 m as (select chrom, pos, avg(d) as f from g group by all),
@@ -62,6 +67,10 @@ zy as (select *, case when gt is null or len(al) = 0 then 'missing' when len(lis
 """
 _HITS = """with h as (select hit_id, any_value(trait) as trait, any_value(marker_id) as marker_id, any_value(chromosome) as chrom, any_value(pos) as pos, any_value(p_value) as p, any_value(aic) as aic, any_value(gwas_model) as model from gwas_hits where p_value > 0 and p_value <= 1 group by hit_id)
 """
+# the normal quantile of 1 - p / 2 by bisection of its tail: erfc isn't built in, so the tail is summed by a series
+_PROBIT = """steps as (select unnest(range(0, 400001)) as i), dens as (select i, 0.00002 * i as x, exp(-0.5 * (0.00002 * i) * (0.00002 * i)) / sqrt(2 * pi()) as f from steps),
+cdf as (select i, x, 0.5 + 0.00002 * (sum(f) over (order by i) - 0.5 * f - 0.5 / sqrt(2 * pi())) as c from dens),
+probit as (select arg_min(x + (1 - md.p / 2 - c) / (exp(-0.5 * x * x) / sqrt(2 * pi())), abs(c - (1 - md.p / 2))) as z from cdf, md)"""
 _GENES = """with genes as (select 'G' || p_partkey as gene_id, p_brand as chrom, p_partkey * 10 as "start", p_partkey * 10 + p_size as "end", p_partkey % 2 as odd from part),
 ln as (select l_orderkey as block_id, l_linenumber as ord, 'G' || l_partkey as gene1, 'G' || (l_partkey + 1) as gene2, (l_suppkey * 7 + l_partkey) % 320 as k from lineitem)
 """
@@ -108,7 +117,7 @@ select g.pos, g.sample::bigint as sample, round(coalesce(d, mo), 9) as d from {_
 select count(*) as variants, count(*) filter (len(r) = 1 and len(a1) = 1) as snps, count(*) filter (not (len(r) = 1 and len(a1) = 1)) as indels,
  count(*) filter (len(r) = 1 and len(a) = 1 and a <> '.' and ra in ('AG', 'GA', 'CT', 'TC')) as transitions, count(*) filter (len(r) = 1 and len(a) = 1 and a <> '.' and ra not in ('AG', 'GA', 'CT', 'TC')) as transversions,
  count(*) filter (a = '.') as mono, count(*) filter (a <> '.' and not contains(a, ',')) as bi, count(*) filter (a <> '.' and contains(a, ',')) as multi from c""",
-    "density_bins": _V + "select chrom, pos // 1000000 as bin, count(*) as n from v group by all",
+    "density_bins": _V + f"select {_key('chrom')} as chrom, pos // 1000000 as bin, count(*) as n from v group by all",
     "marker_ids": _V + """select row_id, case when vcf_id is null or vcf_id = '.' then chrom || ':' || pos else vcf_id end as marker,
  regexp_replace(regexp_replace(regexp_replace(lower(trim(chrom)), '^(chromosome|chr)', ''), '^[_-]', ''), '^0+(.)', '\\1') as key_a,
  regexp_replace(regexp_replace(regexp_replace(lower(trim(chrom)), '^(chromosome|chr|contig|scaffold)_?', ''), '[^a-z0-9]', '', 'g'), '^0+(.)', '\\1') as key_b from v""",
@@ -136,16 +145,27 @@ select trait || '|' || marker_id as marker, hit_id, aic, p from r where k = 1"""
     "qq_ranks": _HITS + """, b as (select *, row_number() over (partition by marker_id order by aic nulls first, p, model, hit_id) as k from h),
 r as (select hit_id, p, row_number() over (order by p, marker_id) as rank from b where k = 1)
 select hit_id, rank, round(-log10(rank / (select count(*) from h)), 9) as expected, round(-log10(p), 9) as observed from r""",
-    "chrom_offsets": _HITS + """, c as (select chrom, max(pos) as max_pos, regexp_matches(lower(chrom), '^(chr|ch|[0-9])') as main, coalesce(try_cast(regexp_replace(chrom, '[^0-9]', '', 'g') as bigint), 1099511627776) as num from h where chrom is not null group by chrom)
+    "chrom_offsets": _HITS + f", k as (select {_key('chrom')} as chrom, pos from h)" + """, c as (select chrom, max(pos) as max_pos, regexp_matches(lower(chrom), '^(chr|ch|[0-9])') as main, coalesce(try_cast(regexp_replace(chrom, '[^0-9]', '', 'g') as bigint), 1099511627776) as num from k where chrom is not null group by chrom)
 select chrom, max_pos, coalesce(sum(max_pos + 5000000) over (order by num, chrom rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from c where main
 union all select chrom, max_pos, (select coalesce(sum(max_pos + 5000000), 0) from c where main)::bigint from c where not main""",
+    # a lead is the best of what no better lead is near
+    "lead_snps": _HITS.replace("with h as", "with recursive h as", 1) + f", k as (select hit_id, {_key('chrom')} as chrom, pos, p from h where chrom is not null and pos is not null)" + """,
+o as (select *, row_number() over (partition by chrom order by p, hit_id) as r from k),
+walk as (
+  select chrom, hit_id, pos, p, r, [pos] as kept from o where r = 1
+  union all
+  select o.chrom, o.hit_id, o.pos, o.p, o.r, list_append(walk.kept, o.pos) from walk, lateral (select * from o where o.chrom = walk.chrom and o.r > walk.r and len([x for x in walk.kept if abs(x - o.pos) <= 5000000]) = 0 order by r limit 1) o)
+select hit_id, chrom, pos, p from walk""",
+    "lambda_median_pick": _HITS + """, r as (select p, row_number() over (order by p, hit_id) - 1 as k, count(*) over () as m from h), md as (select p from r where k = m // 2),
+"""+ _PROBIT + """
+select round(z * z / 0.4549, 3) as lambda, case when round(z * z / 0.4549, 3) < 0.9 then 'conservative' when round(z * z / 0.4549, 3) > 1.1 then 'inflated' else 'calibrated' end as label from probit""",
     "orphans_anti": _GENES + "select gene_id from genes where odd = 0 and gene_id not in (select gene1 from ln)",
     "synteny_report_counts": _GENES + """, l as (select * from ln),
 r as (select 'Syntenic' as status, a.chrom as chrom1, b.chrom as chrom2 from l left join genes a on a.gene_id = l.gene1 and a.odd = 0 left join genes b on b.gene_id = l.gene2 and b.odd = 1
 union all select 'Orphan_G1', chrom, null from genes where odd = 0 and gene_id not in (select gene1 from l) union all select 'Orphan_G2', null, chrom from genes where odd = 1 and gene_id not in (select gene2 from l))
 select status, chrom1, chrom2, count(*) as n from r group by all""",
     "block_bounding_box": _GENES + "select block_id, arg_max(chrom, row(ord, \"start\", \"end\", chrom)) as chrom, min(\"start\") as \"start\", max(\"end\") as \"end\" from ln join genes on gene_id = gene1 group by block_id",
-    "interval_overlap_semi": _GENES + ", sv as (select p_brand as chrom, p_partkey * 10 - 60 as s, p_partkey * 10 + 60 as e from part where p_size > 45)\nselect gene_id from genes where odd = 0 and exists (select 1 from sv where sv.chrom = genes.chrom and sv.s <= genes.\"end\" and sv.e >= genes.\"start\")",
+    "interval_overlap_semi": _GENES + ", sv as (select 'Brand#' || (s_suppkey % 5 + 1) || (s_nationkey % 5 + 1) as chrom, s_suppkey * 200 as s, s_suppkey * 200 + s_nationkey * 10 as e from supplier)\nselect gene_id from genes where odd = 0 and exists (select 1 from sv where sv.chrom = genes.chrom and sv.s <= genes.\"end\" and sv.e >= genes.\"start\")",
     "snp_in_interval_count": _GENES + "select gene_id, count(*) as n from genes join part on p_brand = chrom and p_partkey * 10 between \"start\" - 500 and \"end\" + 500 where odd = 0 group by gene_id",
     "window_gene_join": _GENES + """, m as (select 'm' || p_partkey as marker, p_brand as chrom, p_partkey * 10 + 3 as pos from part)
 select marker, gene_id, case when odd = 0 then 'primary' else 'secondary' end as source, case when pos between "start" and "end" then 0 else least(abs(pos - "start"), abs(pos - "end")) end as distance

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.names import gene_key
+from ..operators.fill import carry_forward
 from ..runtime import small
 
 _AT = lambda c, i: F.get(c, F.lit(i))
@@ -146,7 +147,7 @@ def read_collinearity(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         head = F.regexp_extract("value", r"^## Alignment (\d+):", 1)
         marks = t.filter(F.col("value").startswith("## Alignment") | F.col("value").rlike(r"^\s*\d+-?\s*\d*:"))
         # a file is one ordered sequence; its blocks' headers are few, so the window is over the marks of one file
-        filled = marks.withColumn("h", F.when(head != "", F.col("value"))).withColumn("h", F.last("h", ignorenulls=True).over(W.Window.partitionBy("file").orderBy("line_no").rowsBetween(W.Window.unboundedPreceding, 0)))
+        filled = carry_forward(marks.withColumn("__h", F.when(head != "", F.col("value"))), ["file"], ["line_no"], "__h", "h")
         body = filled.filter(~F.col("value").startswith("##") & F.col("h").isNotNull())
         parts = F.split(F.regexp_replace("value", r"^[^:]*:\s*|\s+$", ""), r"\s+")
         rows = body.select(F.regexp_extract("h", r"Alignment (\d+):", 1).alias("block_id"), "line_no", _AT(parts, 0).alias("gene1"), _AT(parts, 1).alias("gene2"), F.regexp_extract("h", r"score=(\S+)", 1).try_cast("double").alias("score"), _AT(parts, 2).try_cast("double").alias("e_value"), F.when(F.col("h").contains("minus"), "minus").otherwise("plus").alias("o"))
