@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,9 @@ from ..functions import calls as C
 from ..runtime import small
 from .fill import dense
 
+#: Most samples of a matrix on the driver.
+MOST_SAMPLES = 20_000
+
 
 def dosages(variants: DataFrame, ploidy: int = 2, rule: str = "counts_then_gt", caller: str = "any", min_depth: int = 0) -> DataFrame:
     """(row_id, chrom, pos, id, ref, alt, d) of variants with calls."""
@@ -25,36 +28,48 @@ def round_levels(sites: DataFrame, ploidy: int) -> DataFrame:
     return sites.withColumn("d", F.transform("d", lambda x: C.to_level(x, ploidy)))
 
 
-def _kmeans_levels(x: np.ndarray, ploidy: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster of each value and the centroids, from the levels of the ploidy; an empty cluster keeps its centroid."""
-    centre = np.arange(max(ploidy, 2) + 1) / max(ploidy, 2)
-    of = np.zeros(len(x), int)
+def _kmeans_sites(x: np.ndarray, ploidy: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of x the cluster of each value, -1 where it is missing, and the centroids, from the levels of the ploidy.
+
+    All rows move at once; one that has settled stays; an empty cluster keeps its centroid."""
+    k = max(ploidy, 2) + 1
+    centre = np.tile(np.arange(k) / (k - 1), (len(x), 1))
+    row, col = np.nonzero(~np.isnan(x))
+    v, of = x[row, col], np.zeros(len(row), int)
+    moves = np.ones(len(x), bool)
     for _ in range(rounds):
-        of = np.abs(x[:, None] - centre).argmin(1)
-        n = np.bincount(of, minlength=len(centre))
-        new = np.where(n > 0, np.bincount(of, x, len(centre)) / np.maximum(n, 1), centre)
-        if np.allclose(new, centre, atol=1e-12, rtol=0):
+        at = np.flatnonzero(moves[row])
+        if not len(at):
             break
-        centre = new
-    return of, centre
+        r, w = row[at], v[at]
+        of[at] = np.abs(w[:, None] - centre[r]).argmin(1)
+        place = r * k + of[at]
+        n = np.bincount(place, minlength=len(x) * k).reshape(len(x), k)
+        new = np.where(n > 0, np.bincount(place, w, len(x) * k).reshape(len(x), k) / np.maximum(n, 1), centre)
+        moves &= (np.abs(new - centre) > 1e-12).any(1)
+        centre = np.where(moves[:, None], new, centre)
+    out = np.full(x.shape, -1)
+    out[row, col] = of
+    return out, centre
 
 
 def adaptive_levels(sites: DataFrame, ploidy: int) -> DataFrame:
     """sites with each dosage replaced by the level of its cluster; clusters are found per site."""
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            out = []
-            for row in s:
-                x = np.array([np.nan if v is None else v for v in row], float) if row is not None else np.zeros(0)
-                ok = ~np.isnan(x)
-                y = np.full(len(x), np.nan)
-                if ok.any():
-                    y[ok] = _kmeans_levels(x[ok], ploidy)[0] / max(ploidy, 2)
-                out.append([None if np.isnan(v) else float(v) for v in y])
-            yield pd.Series(out)
-
-    run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return sites.withColumn("d", F.pandas_udf(run, "array<double>")("d"))
+    place = sites.columns.index("d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dense(batch.column(place))
+            of, _ = _kmeans_sites(x, ploidy)
+            y = np.where(of >= 0, of / max(ploidy, 2), np.nan)
+            size = np.asarray(pc.list_value_length(batch.column(place)).fill_null(0))
+            inside = np.arange(y.shape[1]) < size[:, None]
+            flat = y[inside]
+            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            col = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float64(), mask=np.isnan(flat)), mask=pc.is_null(batch.column(place)))
+            yield pa.RecordBatch.from_arrays([col if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return sites.mapInArrow(run, sites.schema)
 
 
 def snp_clusters(sites: DataFrame, ploidy: int, include: DataFrame | None = None, limit: int | None = 1000, marker: str = "marker") -> DataFrame:
@@ -64,16 +79,22 @@ def snp_clusters(sites: DataFrame, ploidy: int, include: DataFrame | None = None
     if limit is not None:
         sites = sites.orderBy("row_id").limit(limit)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for i, m, d in zip(pdf.row_id, pdf[marker], pdf.d):
-                x = np.array([v for v in d if v is not None and not np.isnan(v)], float)
-                of, centre = _kmeans_levels(x, ploidy)
-                rows.append((i, m, np.bincount((x * 49).astype(int).clip(0, 49), minlength=50).tolist(), centre.tolist(), np.bincount(of, minlength=len(centre)).tolist()))
-            yield pd.DataFrame(rows, columns=["row_id", marker, "histogram", "centroids", "sizes"])
+    def counts(place: np.ndarray, held: np.ndarray, n: int) -> np.ndarray:
+        row = np.nonzero(held)[0]
+        return np.bincount(row * n + place[held], minlength=len(held) * n).reshape(len(held), n)
 
-    return sites.select("row_id", marker, "d").mapInPandas(run, f"row_id long, {marker} string, histogram array<int>, centroids array<double>, sizes array<int>")
+    def lists(a: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.reshape(-1), kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dense(batch.column(2))
+            held = ~np.isnan(x)
+            of, centre = _kmeans_sites(x, ploidy)
+            bins = (np.where(held, x, 0) * 49).astype(int).clip(0, 49)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists(counts(bins, held, 50), pa.int32()), lists(centre, pa.float64()), lists(counts(of, held, centre.shape[1]), pa.int32())], names=["row_id", marker, "histogram", "centroids", "sizes"])
+
+    return sites.select("row_id", marker, "d").mapInArrow(run, f"row_id long, {marker} string, histogram array<int>, centroids array<double>, sizes array<int>")
 
 
 def impute(sites: DataFrame, how: str, ploidy: int = 2, k: int = 5, distances: DataFrame | None = None) -> DataFrame:
@@ -98,10 +119,13 @@ def impute(sites: DataFrame, how: str, ploidy: int = 2, k: int = 5, distances: D
 
 
 def _square(pairs: DataFrame, n: int) -> np.ndarray:
-    """Pairs (i, j, value) of n samples as a symmetric matrix on the driver; n is some thousands at most."""
+    """Pairs (i, j, value) of n samples as a symmetric matrix on the driver; an error for more than MOST_SAMPLES."""
+    if n > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples")
     m = np.full((n, n), np.nan)
-    for r in pairs.select("i", "j", "value").collect():  # n * n / 2 rows
-        m[r.i, r.j] = m[r.j, r.i] = np.nan if r.value is None else r.value
+    t = pairs.select("i", "j", F.col("value").cast("double").alias("value")).toArrow()  # n * n / 2 rows
+    i, j, v = (t.column(c).to_numpy() for c in t.column_names)
+    m[i, j] = m[j, i] = v
     return m
 
 
@@ -119,11 +143,15 @@ def _impute_knn(sites: DataFrame, ploidy: int, k: int, distances: DataFrame) ->
         for batch in batches:
             x = dense(batch.column(place))
             y = x.copy()
-            for row, col in zip(*np.nonzero(np.isnan(x))):
-                near = order[col][usable[col]]
-                near = near[~np.isnan(x[row, near])][:k]
-                if len(near):
-                    y[row, col] = np.ceil(x[row, near].mean() * levels - 0.5) / levels
+            for col in np.flatnonzero(np.isnan(x).any(0)):
+                rows = np.flatnonzero(np.isnan(x[:, col]))
+                v = x[rows][:, order[col][usable[col]]]
+                held = ~np.isnan(v)
+                held &= np.cumsum(held, 1) <= k
+                n_held = held.sum(1)
+                mean = np.where(held, v, 0.0).sum(1) / np.maximum(n_held, 1)
+                # the last digits of a mean don't decide which level it is halfway to
+                y[rows, col] = np.where(n_held > 0, np.ceil(np.round(mean * levels, 9) - 0.5) / levels, np.nan)
             flat = pa.array(y.reshape(-1), pa.float64(), mask=np.isnan(y.reshape(-1)))
             col = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), flat)
             yield pa.RecordBatch.from_arrays([col if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
@@ -140,7 +168,7 @@ def pair_sums(sites: DataFrame) -> DataFrame:
 
     Every task reduces its sites to matrices of samples by samples (products of matrices, but for the
     absolute differences), which alone are shuffled."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             x = dense(batch.column(0))

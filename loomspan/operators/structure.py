@@ -12,10 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dosage import MOST_SAMPLES
 from .fill import dense
 
-#: Most samples of a matrix on the driver.
-MOST_SAMPLES = 20_000
 
 
 def _gram(sites: DataFrame, kernel: object, n: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:

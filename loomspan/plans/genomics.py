@@ -168,11 +168,11 @@ def nj_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def snp_clusters(spark: SparkSession, d: str) -> DataFrame:
     s = G.sites(spark, d).withColumn("marker", F.concat_ws("_", "chrom", F.col("pos").cast("string")))
-    return dosage.snp_clusters(s, P, limit=None)
+    return dosage.snp_clusters(s, P, limit=None).withColumn("centroids", F.transform("centroids", lambda x: F.round(x, 9)))
 
 
 def ploidy_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return dosage.ploidy_estimate(G.sites(spark, d))
+    return dosage.ploidy_estimate(G.sites(spark, d)).select("sample", "ploidy", _R("confidence").alias("confidence"), "sites")
 
 
 def acgt_export(spark: SparkSession, d: str) -> DataFrame:

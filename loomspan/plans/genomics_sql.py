@@ -65,6 +65,18 @@ _GT = """with g as (select call_id, any_value(row_id) as row_id, any_value(sampl
 al as (select *, [x for x in regexp_split_to_array(gt, '[/|]') if x not in ('.', '')] as al from g),
 zy as (select *, case when gt is null or len(al) = 0 then 'missing' when len(list_distinct(al)) > 1 then 'het' when al[1] = '0' then 'hom_ref' else 'hom_alt' end as z from al)
 """
+# 20 rounds of means from the levels of ploidy 10, of each site's dosages
+_KMEANS = """, vs as (select chrom, pos, list(d order by sample) as v from dos group by all),
+km as (select chrom, pos, v, list_reduce([[x / 10.0::double for x in range(11)] for i in range(21)], lambda c, z:
+  [coalesce(list_avg([x for x in v if list_position([abs(x - q) for q in c], list_min([abs(x - q) for q in c])) - 1 = k]), c[k + 1]) for k in range(11)]) as cs from vs)"""
+# the exact test of each (n0, n1, n2) of n
+_EXACT = """kd as (select distinct n0, n1, n2 from n),
+hs as (select *, n0 + n1 + n2 as m, 2 * least(n0, n2) + n1 as rare, unnest(range((2 * least(n0, n2) + n1) % 2, 2 * least(n0, n2) + n1 + 1, 2)) as h from kd),
+lp as (select n0, n1, n2, h, h * ln(2) - lgamma(h + 1) - lgamma((rare - h) / 2 + 1) - lgamma(m - h - (rare - h) / 2 + 1) as lp from hs),
+rl as (select n0, n1, n2, h, exp(lp - max(lp) over (partition by n0, n1, n2)) as w from lp),
+ob as (select n0, n1, n2, w as seen from rl where h = n1),
+ex as (select n0, n1, n2, least(1, sum(w) filter (w <= seen + 1e-9) / sum(w)) as p from rl join ob using (n0, n1, n2) group by all)
+"""
 _HITS = """with h as (select hit_id, any_value(trait) as trait, any_value(marker_id) as marker_id, any_value(chromosome) as chrom, any_value(pos) as pos, any_value(p_value) as p, any_value(aic) as aic, any_value(gwas_model) as model from gwas_hits where p_value > 0 and p_value <= 1 group by hit_id)
 """
 # the normal quantile of 1 - p / 2 by bisection of its tail: erfc isn't built in, so the tail is summed by a series
@@ -130,6 +142,44 @@ select sample_id, round(1 - oh / eh, 9) as f from o cross join e""",
 n as (select row_id, count(*) filter (k = 0) as n0, count(*) filter (k = 1) as n1, count(*) filter (k = 2) as n2, count(*)::double as n from k group by row_id having count(*) >= 5),
 p as (select *, (2 * n0 + n1) / (2 * n) as p from n)
 select row_id, n0, n1, n2, round(case when 2 * p * (1 - p) * n > 0 then (n1 - 2 * p * (1 - p) * n) * (n1 - 2 * p * (1 - p) * n) / (2 * p * (1 - p) * n) end, 9) as chi2 from p""",
+    "hwe_exact": _GT + """, k as (select row_id, len([x for x in al if x = '1']) as k from zy where len(al) = 2 and len([x for x in al if x not in ('0', '1')]) = 0),
+n as (select row_id, count(*) filter (k = 0) as n0, count(*) filter (k = 1) as n1, count(*) filter (k = 2) as n2, count(*) as n from k group by row_id having count(*) >= 5),
+"""
+    + _EXACT
+    + "select row_id, round(p, 9) as p from n join ex using (n0, n1, n2)",
+    "go_enrichment": """with t as (select distinct p_partkey as g, p_brand as block_id, unnest(string_split(p_type, ' ')) as term from part),
+gd as (select term, count(distinct g) as good from t group by term), dr as (select block_id, count(distinct g) as draws from t group by block_id), tt as (select count(distinct g) as total from t),
+k as (select block_id, term, count(distinct g) as hits, draws, good, total from t join gd using (term) join dr using (block_id) cross join tt group by all),
+x as (select *, unnest(range(greatest(hits, draws - (total - good), 0), least(draws, good) + 1)) as x from k),
+p as (select block_id, term, hits, draws, good, least(1, sum(exp(lgamma(good + 1) - lgamma(x + 1) - lgamma(good - x + 1) + lgamma(total - good + 1) - lgamma(draws - x + 1) - lgamma(total - good - draws + x + 1)
+  - lgamma(total + 1) + lgamma(draws + 1) + lgamma(total - draws + 1)))) as p from x group by all having p < 0.05),
+r as (select *, row_number() over (partition by block_id order by p, term) as rank, count(*) over (partition by block_id) as m from p)
+select block_id, term, hits, draws, good, round(p, 9) as p, round(min(least(1, p * m / rank)) over (partition by block_id order by rank desc rows unbounded preceding), 9) as q from r""",
+    "ploidy_estimate": _CELLS + """, l as (select sample, d, unnest([2, 4, 6, 8, 10, 12]) as p from dos where d > 0.05 and d < 0.95),
+m as (select sample, p, avg((d - round(d * p) / p) * (d - round(d * p) / p) * p * p) as m, count(*) as sites from l group by all),
+r as (select *, row_number() over (partition by sample order by m, p) as k, lead(m) over (partition by sample order by m, p) as second from m)
+select sample::int as sample, p::int as ploidy, round(case when second > 0 then 1 - m / second else 0 end, 9) as confidence, sites from r where k = 1""",
+    "dosage_knn_impute": _ROUND + f""", ds as (select a.sample as i, b.sample as j, avg(abs(a.d - b.d)) as v from rd a join rd b on a.pos = b.pos and a.sample <> b.sample group by all),
+ho as (select g.pos, g.sample from {_GRID} g anti join rd using (pos, sample)),
+nb as (select ho.pos, ho.sample, rd.d, row_number() over (partition by ho.pos, ho.sample order by round(v, 12), j) as k from ho join ds on ds.i = ho.sample join rd on rd.pos = ho.pos and rd.sample = ds.j),
+im as (select pos, sample, ceil(round(avg(d) * 10, 9) - 0.5) / 10 + 0.0 as d from nb where k <= 5 group by all)
+select g.pos, g.sample::bigint as sample, round(coalesce(rd.d, im.d), 9) as d from {_GRID} g left join rd using (pos, sample) left join im using (pos, sample)""",
+    "ld_prune": _CELLS.replace("with cells", "with recursive cells", 1) + """, z as (select every.chrom, every.pos, sample, d from every left join dos using (chrom, pos)),
+pr as (select a.chrom, a.pos as p, b.pos as q, count(*) as n, sum(a.d) as sa, sum(b.d) as sb, sum(a.d * a.d) as aa, sum(b.d * b.d) as bb, sum(a.d * b.d) as ab from dos a join dos b on a.chrom = b.chrom and a.sample = b.sample and b.pos > a.pos group by all),
+hi as (select chrom, p, q from pr where n >= 3 and n * aa - sa * sa > 1e-9 and n * bb - sb * sb > 1e-9 and (n * ab - sa * sb) * (n * ab - sa * sb) >= 0.5 * (n * aa - sa * sa) * (n * bb - sb * sb)),
+ok as materialized (select a.chrom, a.pos as p, min(b.pos) as q from every a join every b on a.chrom = b.chrom and b.pos > a.pos where not exists (select 1 from hi where hi.chrom = a.chrom and hi.p = a.pos and hi.q = b.pos) group by all),
+walk as (select chrom, min(pos) as pos from every group by chrom union all select ok.chrom, ok.q from walk join ok on ok.chrom = walk.chrom and ok.p = walk.pos)
+select chrom, pos from walk""",
+    "dosage_adaptive": _CELLS
+    + _KMEANS
+    + f"""
+select g.pos, g.sample::bigint as sample, round(case when dos.d is not null then (list_position([abs(dos.d - q) for q in cs], list_min([abs(dos.d - q) for q in cs])) - 1) / 10.0 end, 9) as d
+from {_GRID} g left join dos using (pos, sample) left join km using (pos)""",
+    "snp_clusters": _CELLS
+    + _KMEANS
+    + """
+select pos as row_id, chrom || '_' || pos as marker, [len([x for x in v if floor(x * 49) = b])::int for b in range(50)] as histogram, [round(q, 9) for q in cs] as centroids,
+  [len([x for x in v if list_position([abs(x - q) for q in cs], list_min([abs(x - q) for q in cs])) - 1 = k])::int for k in range(11)] as sizes from km""",
     "merge_full_outer": _CELLS + """,
 c as (select chrom, pos, sample, ref_d::bigint || ',' || alt_d::bigint as call from cells),
 f as (select * from c where sample < 15), s as (select * from c where sample >= 10),

@@ -47,6 +47,15 @@ union all select b.file_id, b.tag, 'retyped' from a join b using (file_id, tag)
 union all select file_id, tag, 'retyped' from ren where kind <> old_kind and tag <> 'GT'
 """
 
+_KIND = "(['whole', 'number', 'whole_list', 'number_list', 'text'])[{} + 1]"
+_P6_CHANGES = _P6_MATCHED + f"""
+select file_id, tag, 'renamed' as change_kind, old as was from ren
+union all select file_id, tag, 'added', null from new anti join ren using (file_id, tag)
+union all select file_id, gone.tag, 'removed', null from gone where not exists (select 1 from ren where ren.file_id = gone.file_id and ren.old = gone.tag)
+union all select b.file_id, b.tag, 'retyped', {_KIND.format('a.kind')} from a join b using (file_id, tag) where a.kind <> b.kind and b.tag <> 'GT'
+union all select file_id, tag, 'retyped', {_KIND.format('old_kind')} from ren where kind <> old_kind and tag <> 'GT'
+"""
+
 # a field's chain along its stream, its commonest description, and the tag that most files use for that
 _P6_CALLS = _P6_MATCHED.replace("with l as", "with recursive l as", 1) + r""",
 chain as (
@@ -91,6 +100,7 @@ j as (select *, case
 SQL = {
     "p5_found": _P5,
     "p6_found": _P6,
+    "p6_changes": _P6_CHANGES,
     "p6_calls": _P6_CALLS,
     "p7_found": _P7_ROWS + "select file_id, line_no, reason from j where reason is not null",
     "p7_valid": _P7_ROWS + "select file_id, line_no, f[1] as chrom, f[2]::bigint as pos, f[3] as id, f[4] as \"ref\", f[5] as alt, try_cast(f[6] as double) as qual, f[7] as \"filter\", f[8] as info, f[9] as format, f[10:] as calls from j where reason is null",
