@@ -118,7 +118,8 @@ def is_snp(ref: Column, alt: Column) -> Column:
 
 
 def allele_class(alt: Column) -> Column:
-    return F.when(alt == ".", "mono").when(~alt.contains(","), "bi").otherwise("multi")
+    """mono, bi or multi; null without a field."""
+    return F.when(alt == ".", "mono").when(~alt.contains(","), "bi").when(alt.contains(","), "multi")
 
 
 def biallelic_snp(ref: Column, alt: Column) -> Column:
