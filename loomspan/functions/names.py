@@ -41,8 +41,39 @@ def short_label(note: Column) -> Column:
     return F.when(F.length(note) < 50, note).otherwise(F.concat(F.substring(note, 1, 47), F.lit("...")))
 
 
+# The bounds and names of relationships, and the substitutions per site and year of organisms.
+_RELATIONS = ((0.45, "Duplicate/Clone"), (0.20, "Full-Sib/Parent-Offspring"), (0.10, "Half-Sib"), (0.05, "Distant Relative"))
+RATES = {"saccharum": 6.96e-9, "arabidopsis": 7.0e-9, "human": 1.2e-9, "populus": 2.5e-9, "drosophila": 1.5e-8}
+
+
 def relationship(kinship: Column) -> Column:
-    return F.when(kinship > 0.45, "clone").when(kinship > 0.20, "full-sib/PO").when(kinship > 0.10, "half-sib").when(kinship > 0.05, "distant").when(kinship < -0.05, "divergent").otherwise("unrelated")
+    out = F.when(kinship < -0.05, "Unrelated (Divergent)").otherwise("Unrelated")
+    for bound, name in reversed(_RELATIONS):
+        out = F.when(kinship > bound, name).otherwise(out)
+    return out
+
+
+def substitution_rate(organism: str | None = None, given: float | None = None) -> float:
+    """The given rate, else the organism's in any case, else that of grasses."""
+    return given if given is not None else RATES.get((organism or "").lower(), RATES["saccharum"])
+
+
+def genotype_class(gt: Column) -> Column:
+    """How a haplotype map colours a call's text: hom_alt, het or hom_ref by the first of 1/1, 0/1 and 0/0 that it holds, else other."""
+    return F.when(gt.contains("1/1"), "hom_alt").when(gt.contains("0/1"), "het").when(gt.contains("0/0"), "hom_ref").otherwise("other")
+
+
+def colour_index(c: Column, colours: int = 8) -> Column:
+    """A chromosome's place in a palette: by its number, else by the sum of its characters to the base 31 in 32 bits."""
+    code = F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda s, x: (s * 31 + F.ascii(x)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    signed = F.when(code >= 1 << 31, code - (1 << 32)).otherwise(code)
+    return (F.abs(F.coalesce(chromosome_number(c), signed)) % colours).cast("int")
+
+
+def elite_genotype(effect: Column, ref: Column, alt: Column, ploidy: int) -> Column:
+    """Struct (dosage, genotype): all copies of the alternate if its effect is above 0, else none."""
+    best = F.when(effect > 0, ploidy).otherwise(0)
+    return F.struct(best.alias("dosage"), F.concat(F.repeat(alt, best), F.repeat(ref, ploidy - best)).alias("genotype"))
 
 
 def tajima_label(d: Column) -> Column:

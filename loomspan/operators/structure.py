@@ -75,8 +75,8 @@ def matrix_pairs(spark: SparkSession, m: np.ndarray, diagonal: bool = False) ->
     return spark.createDataFrame(list(zip(i.tolist(), j.tolist(), m[i, j].tolist())), "i int, j int, value double")
 
 
-def pca(sites: DataFrame, ploidy: int, n_pcs: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Components (samples by n_pcs, scaled) and their shares of the variance, by the eigenvectors of the samples' Gram matrix: exact, whatever the number of sites. Signs are such that the largest entry of each is positive."""
+def pca(sites: DataFrame, ploidy: int, n_pcs: int = 10, fast: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Components (samples by n_pcs, scaled) and their shares of the variance, by the eigenvectors of the samples' Gram matrix: exact, whatever the number of sites. Signs are such that the largest entry of each is positive. fast: shares are of the n_pcs + 5 greatest eigenvalues only, as a truncated decomposition has them."""
     def kernel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = _filled(x)
         f = x.mean(1, keepdims=True) / ploidy
@@ -89,7 +89,8 @@ def pca(sites: DataFrame, ploidy: int, n_pcs: int = 10) -> tuple[np.ndarray, np.
     order = np.argsort(-values)[:n_pcs]
     pcs = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
     pcs *= np.where(pcs[np.abs(pcs).argmax(0), np.arange(pcs.shape[1])] < 0, -1, 1)
-    return pcs, np.maximum(values[order], 0) / max(np.maximum(values, 0).sum(), 1e-12)
+    whole = np.sort(np.maximum(values, 0))[::-1][: n_pcs + 5 if fast else None].sum()
+    return pcs, np.maximum(values[order], 0) / max(whole, 1e-12)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 100, seed: int = 42) -> tuple[np.ndarray, float]:
@@ -271,13 +272,13 @@ class Structure:
     tree: list = field(default_factory=list)
 
 
-def analyse(sites: DataFrame, ploidy: int, n_pcs: int = 10, min_maf: float = 0.05, max_missing: float = 0.2) -> Structure:
+def analyse(sites: DataFrame, ploidy: int, n_pcs: int = 10, min_maf: float = 0.05, max_missing: float = 0.2, fast: bool = False) -> Structure:
     """Everything at once; d counts copies. Two sites or more must pass."""
     used = pca_sites(sites, ploidy, min_maf, max_missing).persist()
     try:
         if used.limit(2).count() < 2:
             raise ValueError("fewer than two sites pass")
-        pcs, explained = pca(used, ploidy, n_pcs)
+        pcs, explained = pca(used, ploidy, n_pcs, fast)
         k = elbow(pcs)
         label, _ = kmeans(pcs, k)
         mixed, r = gmm(pcs[:, :3], k)

@@ -19,23 +19,33 @@ from .structure import neighbour_joining
 
 
 def resolve(ids: DataFrame, genes: DataFrame, id_: str, gene: str = "gene_id") -> DataFrame:
-    """ids with `found`, the gene that its best form names: as it is, without prefix, without version, without suffix."""
-    tries = ids.select(id_).distinct().select(id_, F.posexplode(N.base_keys(F.col(id_))).alias("prio", "k"))
+    """ids with `found`, the gene that its best form names: as it is, without prefix, without version, without suffix.
+
+    The forms of an id are tried in the keys' join only if it isn't a gene's own, with or without a prefix."""
+    every = genes.select(gene).filter(F.col(gene).isNotNull()).distinct()
+    own = ids.select(id_).distinct().withColumn("__bare", N.gene_key(F.col(id_)))
+    own = own.join(every.select(F.col(gene).alias(id_), F.col(gene).alias("__a")), id_, "left").join(every.select(F.col(gene).alias("__bare"), F.col(gene).alias("__b")), "__bare", "left").select(id_, F.coalesce("__a", "__b").alias("found"))
+    tries = own.filter("found is null").select(id_, F.posexplode(N.base_keys(F.col(id_))).alias("prio", "k"))
     known = genes.select(gene).distinct().select(F.col(gene).alias("g"), F.explode(F.array_distinct(F.array(F.col(gene), N.gene_key(F.col(gene)), F.regexp_replace(N.gene_key(F.col(gene)), r"\.[^.]*$", "")))).alias("k"))
     best = tries.join(known, "k").groupBy(id_).agg(F.min_by("g", F.struct("prio", "g")).alias("found"))
-    return ids.join(best, id_, "left")
+    return ids.join(own.filter("found is not null").unionByName(best), id_, "left")
 
 
 def orphans(genes: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """The genes of one genome that are in no pair; side is `gene1` or `gene2`."""
-    return genes.join(pairs.select(N.gene_key(F.col(side)).alias("gene_id")).distinct(), "gene_id", "left_anti")
+    found = resolve(pairs.select(side).distinct(), genes, side).select(F.col("found").alias("gene_id")).filter(F.col("gene_id").isNotNull())
+    return genes.join(found.distinct(), "gene_id", "left_anti")
 
 
 def report(pairs: DataFrame, genes1: DataFrame, genes2: DataFrame, kaks: DataFrame | None = None) -> DataFrame:
-    """Syntenic pairs with both genes' places and Ka/Ks, and the orphans of either genome: one table with `status`."""
-    p = pairs.select("block_id", "ord", N.gene_key(F.col("gene1")).alias("gene1"), N.gene_key(F.col("gene2")).alias("gene2"), "e_value")
-    side = lambda g, k: g.select(F.col("gene_id").alias(f"gene{k}"), F.col("chrom").alias(f"chrom{k}"), F.col("start").alias(f"start{k}"), F.col("end").alias(f"end{k}"))
-    out = p.join(side(genes1, 1), "gene1", "left").join(side(genes2, 2), "gene2", "left")
+    """Syntenic pairs with both genes' places and Ka/Ks, and the orphans of either genome: one table with `status`.
+
+    A pair's genes are those that `resolve` finds; one that isn't found keeps its name, without places."""
+    out = pairs.select("block_id", "ord", "gene1", "gene2", "e_value")
+    more = [c for c in ("strand",) if c in genes1.columns and c in genes2.columns]
+    side = lambda g, k: g.select(F.col("gene_id").alias(f"gene{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("chrom", "start", "end", *more)))
+    for k, g in ((1, genes1), (2, genes2)):
+        out = resolve(out, g, f"gene{k}").withColumn(f"gene{k}", F.coalesce("found", N.gene_key(F.col(f"gene{k}")))).drop("found").join(side(g, k), f"gene{k}", "left")
     if kaks is not None:
         out = out.join(kaks.select("gene1", "gene2", "ka", "ks", "ratio"), ["gene1", "gene2"], "left")
     out = out.withColumn("status", F.lit("Syntenic"))
@@ -138,6 +148,11 @@ def go_enrichment(study: DataFrame, background: DataFrame, by: str = "block_id",
     return fdr(found, "p", [by], "term").drop("rank")
 
 
+def super_matrix(ortho: DataFrame) -> DataFrame:
+    """(block_id, ord, a, b): the aligned sequences of `ortholog_fasta`'s pairs; put end to end in this order, each side is one long sequence."""
+    return ortho.withColumn("x", align_udf("seq1", "seq2")).select("block_id", "ord", "x.a", "x.b")
+
+
 def top_terms(enriched: DataFrame, by: str = "block_id", n: int = 5) -> DataFrame:
     return enriched.withColumn("__r", F.row_number().over(W.Window.partitionBy(by).orderBy("p", "term"))).filter(F.col("__r") <= n).drop("__r")
 

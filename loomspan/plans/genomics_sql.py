@@ -123,7 +123,7 @@ select g.pos, g.sample::bigint as sample, round(coalesce(d, mo), 9) as d from {_
     "ld_half_decay": _LD + "select max(mean_r2) as max_r2, min(bin) filter (mean_r2 <= (select max(mean_r2) from dc) / 2) as half_bin from dc",
     "haplotype_windows": _CELLS + ", w as (select chrom, pos, (row_number() over (partition by chrom order by pos) - 1) // 5 as block from every)\nselect chrom, block, min(pos) as \"start\", max(pos) as \"end\", count(*) as n from w group by all",
     "kinship_vanraden": _KIN + "select * from kin",
-    "relationship_class": _KIN + "select i, j, case when value > 0.45 then 'clone' when value > 0.2 then 'full-sib/PO' when value > 0.1 then 'half-sib' when value > 0.05 then 'distant' when value < -0.05 then 'divergent' else 'unrelated' end as relation from kin where i < j",
+    "relationship_class": _KIN + "select i, j, case when value > 0.45 then 'Duplicate/Clone' when value > 0.2 then 'Full-Sib/Parent-Offspring' when value > 0.1 then 'Half-Sib' when value > 0.05 then 'Distant Relative' when value < -0.05 then 'Unrelated (Divergent)' else 'Unrelated' end as relation from kin where i < j",
     "acgt_export": _CELLS + f"""select g.pos, g.sample::bigint as sample, case when d is null then 'NNNN' else repeat(case when g.pos % 2 = 0 then 'A' else 'C' end, floor((1 - d) * 4 + 0.5)::int) || repeat('G', 4 - floor((1 - d) * 4 + 0.5)::int) end as genotype from {_GRID} g left join dos using (pos, sample)""",
     "variant_class_counts": _V + """, c as (select *, split_part(a, ',', 1) as a1, upper(r) || upper(a) as ra from v)
 select count(*) as variants, count(*) filter (len(r) = 1 and len(a1) = 1) as snps, count(*) filter (not (len(r) = 1 and len(a1) = 1)) as indels,

@@ -62,6 +62,61 @@ def table_lines(df: DataFrame, sep: str = "\t", order: str = "row_id") -> DataFr
     return df.select(order, F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in df.columns if c != order)).alias("line"))
 
 
+def _fixed(c: Column | str, places: int) -> Column:
+    return F.format_string(f"%.{places}f", F.col(c) if isinstance(c, str) else c)
+
+
+def pca_lines(samples: DataFrame) -> tuple[str, DataFrame]:
+    """Header and lines of the table of `structure.table`: clusters from 1, `Noise` for none, and a column for each component, discriminant and share."""
+    widths = samples.agg(*(F.max(F.size(c)).alias(c) for c in ("pcs", "lds", "ancestry"))).first()
+    head = ["Sample", "KMeans_Cluster", "DBSCAN_Cluster", "GMM_Cluster"]
+    head += [f"{name}{i + 1}" for c, name in (("pcs", "PC"), ("lds", "LD"), ("ancestry", "Ancestry_Q")) for i in range(widths[c] or 0)]
+    values = [F.transform(c, lambda x: F.format_string("%.6f", x)) for c in ("pcs", "lds", "ancestry")]
+    noise = F.when(F.col("dbscan") == 0, "Noise").otherwise(F.col("dbscan").cast("string"))
+    line = F.concat_ws(",", "sample", F.col("kmeans").cast("string"), noise, F.col("gmm").cast("string"), *(F.array_join(v, ",") for v in values))
+    return ",".join(head), samples.select("sample", line.alias("line"))
+
+
+def relationship_lines(pairs: DataFrame) -> tuple[str, DataFrame]:
+    """Header and lines (i, j, line) of the table of `reports.relationships`."""
+    line = F.concat_ws(",", "sample1", "sample2", "same_cluster", _fixed("distance", 4), _fixed("kinship", 4), "relation")
+    return "Sample1,Sample2,Same_PCA_Cluster,Distance_PC_Space,Kinship_VanRaden,Inferred_Relationship", pairs.select("i", "j", line.alias("line"))
+
+
+# The columns of the table of syntenic pairs.
+SYNTENY_COLUMNS = ("Block_ID", "Status", "Gene1_ID", "Chr1", "Start1", "End1", "Strand1", "Gene2_ID", "Chr2", "Start2", "End2", "Strand2", "E_Value", "CDS1_Len", "CDS2_Len", "Prot1_Len", "Prot2_Len")
+
+
+def synteny_lines(report: DataFrame) -> tuple[str, DataFrame]:
+    """Header and lines (block_id, ord, line) of `synteny.report`; what a side lacks is NA, -1, `.` or a length of 0."""
+    have = set(report.columns)
+    text = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in have else F.lit(other)
+    sides = [[text(f"gene{k}", "NA"), text(f"chrom{k}", "NA"), text(f"start{k}", "-1"), text(f"end{k}", "-1"), text(f"strand{k}", ".")] for k in (1, 2)]
+    e = F.when(F.col("status") == "Syntenic", F.format_string("%.2e", F.coalesce("e_value", F.lit(0.0)))).otherwise("NA")
+    lengths = [text(c, "0") for c in ("cds1_len", "cds2_len", "prot1_len", "prot2_len")]
+    line = F.concat_ws("\t", text("block_id", "None"), "status", *sides[0], *sides[1], e, *lengths)
+    return "\t".join(SYNTENY_COLUMNS), report.select("block_id", "ord", line.alias("line"))
+
+
+def summary_lines(s: dict, tajima: dict, chromosomes: list[tuple[str, int]], fst: list[tuple[str, str, float]] = ()) -> list[str]:
+    """The commented part of a report of statistics: counts, alleles, proportions, Tajima's D, pairwise Fst, variants by chromosome.
+
+    s: a row of `callset.summary`; tajima: of `sites.tajima`. Both come from one row each; chromosomes and populations are few."""
+    ratio = s["transitions"] / s["transversions"] if s["transversions"] else 0.0
+    share = 100.0 * s["hwe_violations"] / s["hwe_tested"] if s["hwe_tested"] else 0.0
+    rule = "=" * 56
+    out = [rule, "VCF Statistics Report", rule, f"Total Variants: {max(s['snps'] + s['indels'], 1)}  (SNPs: {s['snps']} | InDels: {s['indels']})", f"Transitions: {s['transitions']}  |  Transversions: {s['transversions']}"]
+    out += [f"Ts/Tv Ratio: {ratio:.3f}", f"Mean Expected Heterozygosity (EH): {s['mean_eh'] or 0:.4f}", None]
+    out += ["-- AN: Allele Number Distribution --", f"  Monomorphic sites: {s['mono']}", f"  Biallelic sites:   {s['bi']}", f"  Multiallelic sites:{s['multi']}", None]
+    out += ["-- HWE Chi-square Test --", f"  Sites tested: {s['hwe_tested']}", f"  Sites violating HWE (chi2 > 3.84, p<0.05): {s['hwe_violations']} ({share:.1f}%)", f"  Mean chi-square: {s['mean_chi2'] or 0:.3f}", None]
+    d = tajima.get("d")
+    out += ["-- Tajima's D --", f"  Segregating sites (S): {tajima['s']}", f"  pi (avg pairwise diffs): {tajima['pi'] or 0:.5f}", f"  Watterson theta_W: {tajima['theta'] or 0:.5f}", "  Tajima's D: " + ("N/A (insufficient data)" if d is None else f"{d:.4f}"), None]
+    if fst:
+        out += ["-- Pairwise Fst --", *(f"  Fst {a} vs {b}: {x:.4f}" for a, b, x in fst), None]
+    out += ["-- Variant Density per Chromosome --", *(f"  {c}: {n} variants" for c, n in chromosomes), None]
+    return ["#" if x is None else f"## {x}" for x in out]
+
+
 def fasta_lines(seqs: DataFrame) -> DataFrame:
     return seqs.select(F.monotonically_increasing_id().alias("row_id"), F.concat(F.lit(">"), "seq_id", F.lit("\n"), "seq").alias("line"))
 
