@@ -65,6 +65,13 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the Python driver ends."""
+    path = f"{shared_dir(spark)}/loomspan-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the files behind a table made by `cut`, once nothing reads it any more."""
     path = getattr(df, "_loomspan_path", None)

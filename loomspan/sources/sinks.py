@@ -22,8 +22,16 @@ def tabbed(*cols: Column | str) -> Column:
     return F.concat_ws("\t", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(".")) for c in cols))
 
 
+def _plain(c: Column) -> Column:
+    """A field's text with blanks for tabs and line ends, which would end it."""
+    return F.translate(c, "\t\r\n", "   ")
+
+
 def vcf_lines(variants: DataFrame) -> DataFrame:
-    return variants.select("row_id", F.concat_ws("\t", tabbed(*_FIXED), F.array_join("calls", "\t")).alias("line"))
+    """Lines of variants; a field's own tabs and line ends become blanks, null fields `.`."""
+    fixed = tabbed(*(_plain(F.col(c).cast("string")) for c in _FIXED))
+    calls = F.transform("calls", lambda c: _plain(F.coalesce(c, F.lit("."))))
+    return variants.select("row_id", F.concat_ws("\t", fixed, F.when(F.size("calls") > 0, F.array_join(calls, "\t"))).alias("line"))
 
 
 def vcf_header(samples: list[str], notes: list[str] | None = None) -> list[str]:
@@ -121,5 +129,19 @@ def fasta_lines(seqs: DataFrame) -> DataFrame:
     return seqs.select(F.monotonically_increasing_id().alias("row_id"), F.concat(F.lit(">"), "seq_id", F.lit("\n"), "seq").alias("line"))
 
 
+def kaks_lines(rates: DataFrame) -> tuple[str, DataFrame]:
+    """Header and lines (gene1, gene2, line) of Ka, Ks and their ratio."""
+    line = F.concat_ws("\t", "gene1", "gene2", *(_fixed(c, 6) for c in ("ka", "ks", "ratio")))
+    return "#Gene1\tGene2\tKa\tKs\tKa/Ks", rates.select("gene1", "gene2", line.alias("line"))
+
+
+def block_lines(pairs: DataFrame) -> DataFrame:
+    """(block_id, ord, line) of collinear blocks as text: a header before the first pair of each; pairs: block_id, ord from 1, gene1, gene2, e_value."""
+    sizes = pairs.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.min("e_value").alias("e"))
+    head = F.concat(F.lit("## Alignment "), F.col("block_id").cast("string"), F.format_string(": score=%.1f e_value=%s N=%d plus", F.col("n") * 50.0, F.col("e").cast("string"), F.col("n")))
+    line = F.concat(F.col("block_id").cast("string"), F.lit("-"), F.lpad((F.col("ord") - 1).cast("string"), 3, " "), F.lit(":\t"), F.concat_ws("\t", "gene1", "gene2", F.col("e_value").cast("string")))
+    return sizes.select("block_id", F.lit(0).cast("long").alias("ord"), head.alias("line")).unionByName(pairs.select("block_id", F.col("ord").cast("long").alias("ord"), line.alias("line")))
+
+
 def write_newick(spark: SparkSession, newick: str, path: str) -> None:
     spark.createDataFrame([(newick,)], "value string").coalesce(1).write.mode("overwrite").text(path)

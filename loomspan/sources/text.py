@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -27,9 +29,11 @@ def with_row_ids(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     files = sorted(spark.read.text(path).inputFiles())
     if len(files) == 1:
         return rows.withColumn("row_id", F.col("line_no"))
-    places = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, __i long")
+    # one file is written file:/x or file:///x
+    places = spark.createDataFrame([(re.sub("^([a-z0-9]+):/+", r"\1:/", f), i) for i, f in enumerate(files)], "__f string, __i long")
     missing = F.raise_error(F.concat(F.lit("a file came while it was read: "), "file")).cast("long")
-    return rows.join(small(places), "file", "left").withColumn("row_id", F.coalesce("__i", missing) * F.lit(1 << 40) + F.col("line_no")).drop("__i")
+    rows = rows.withColumn("__f", F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")).join(small(places), "__f", "left")
+    return rows.withColumn("row_id", F.coalesce("__i", missing) * F.lit(1 << 40) + F.col("line_no")).drop("__i", "__f")
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
