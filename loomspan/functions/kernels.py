@@ -103,6 +103,42 @@ def f_sf(f: float, d1: float, d2: float, floor: float = 1e-300) -> float:
     return max(math.exp(log) if log > -700 else 0.0, floor)
 
 
+def _beta_cf(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """log of I_x(a, b) by the continued fraction, for x on the side where it converges fast."""
+    tiny = 1e-300
+    fix = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    front = a * np.log(x) + b * np.log1p(-x) - math.log(a) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+    c, d = np.ones_like(x), 1 / fix(1 - (a + b) * x / (a + 1))
+    f = d.copy()
+    for m in range(1, 500):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / fix(1 + num * d), fix(1 + num / c)
+            step = d * c
+            f = f * step
+        if (np.abs(step - 1) < 1e-14).all():
+            break
+    return front + np.log(f)
+
+
+def f_sf_array(f: np.ndarray, d1: float, d2: float, floor: float = 1e-300) -> np.ndarray:
+    """f_sf of many values at once."""
+    f = np.asarray(f, float)
+    out = np.ones(len(f))
+    up = np.flatnonzero(f > 0)
+    x = d1 * f[up] / (d1 * f[up] + d2)
+    a, b = d1 / 2, d2 / 2
+    far = 1 - x < (b + 1) / (a + b + 2)
+    log = np.full(len(x), -np.inf)
+    some = far & (x < 1)
+    if some.any():
+        log[some] = _beta_cf(1 - x[some], b, a)
+    if (~far).any():
+        low = np.exp(_beta_cf(x[~far], a, b))
+        log[~far] = np.where(low < 1, np.log1p(-np.minimum(low, 1 - 1e-17)), -np.inf)
+    out[up] = np.maximum(np.where(log > -700, np.exp(np.maximum(log, -700)), 0.0), floor)
+    return out
+
+
 def t_sf2(t: float, df: float) -> float:
     """Both tails of Student's t."""
     return f_sf(t * t, 1, df)

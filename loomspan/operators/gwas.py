@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..functions.kernels import f_sf, t_sf2
+from ..functions.kernels import f_sf, f_sf_array, t_sf2
 from ..runtime import small
 from .fill import dense
 from .structure import MOST_SAMPLES, _filled
@@ -126,7 +126,7 @@ def test_markers(null: Null, d: np.ndarray, model: str, ploidy: int) -> tuple[np
     gain = np.minimum(zy[ok] ** 2 / zz[ok], r0)
     r1 = np.maximum(r0 - gain, 1e-300)
     f = gain / (r1 / (n - c - 1))
-    out[0][ok] = [f_sf(v, 1, n - c - 1) for v in f]
+    out[0][ok] = f_sf_array(f, 1, n - c - 1)
     out[1][ok] = zy[ok] / zz[ok]
     out[2][ok] = np.maximum(0, 1 - r1 / max(r0, 1e-300))
     out[3][ok] = n * np.log(r1 / n) + 2 * (c + 2)
@@ -310,7 +310,7 @@ def epistasis(sites: DataFrame, leads: DataFrame, y: np.ndarray, kinship: np.nda
         for pdf in it:
             out = []
             for m, d in zip(pdf.marker, pdf.d):
-                x2 = impute_batch(np.array([[np.nan if v is None else v for v in d]], float))[0][has]
+                x2 = impute_batch(np.asarray(d, float)[None])[0][has]
                 for lead, x1 in held:
                     if lead == m:
                         continue

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from typing import Any, Iterator, Tuple  # noqa: UP035 (Spark reads these hints)
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .fill import dense
+
 
 def r2(x: Column, y: Column) -> Column:
     """Squared correlation over the elements present in both arrays; null under 3, 0 without variance."""
@@ -49,24 +52,22 @@ def _block_r2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def ld_pairs(sites: DataFrame, max_bp: int, min_maf: float = 0.05, min_r2: float = 0.0) -> DataFrame:
-    """(chrom, pos1, row1, pos2, row2, distance, r2) of the sites of one chromosome within max_bp, in file order; sites under min_maf are left out.
+def _by_blocks(sites: DataFrame, max_bp: int, min_maf: float, give: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """What `give` makes of every block of r2 between a site of a bucket and the later ones within max_bp.
 
     A site is looked up from its bucket of that width and stands in the one before too, as in `band_join`; a
-    bucket is one task, which holds its sites and gives the pairs block by block."""
+    bucket is one task, which holds its sites and goes over their pairs block by block."""
     width = max(int(max_bp), 1)
     s = sites.filter((mean_maf(F.col("d")) >= min_maf) & F.col("chrom").isNotNull() & F.col("pos").isNotNull()).select("chrom", "pos", "row_id", "d")
     at = F.floor(F.col("pos") / width)
     s = s.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("bucket", F.when(F.col("own"), at).otherwise(at - 1))
-    kind = {f.name: f.dataType.simpleString() for f in sites.schema}
-
-    def run(key: Tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: UP006
-        pdf = pd.concat(list(frames)).sort_values(["pos", "row_id"])
-        own, pos, row = (pdf[c].to_numpy() for c in ("own", "pos", "row_id"))
-        if not own.any():
-            return
-        x = np.array([[np.nan if v is None else v for v in d] for d in pdf["d"]], float)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pos", "ascending"), ("row_id", "ascending")]).combine_chunks()
+        pos, row, own = (table.column(c).to_numpy() for c in ("pos", "row_id", "own"))
         mine = int(own.sum())  # those of the next bucket lie behind
+        parts = [give(None, None, None, None, None, None)]  # the columns, without rows
+        x = dense(table.column("d").chunk(0)) if len(table) else None
         for i in range(0, mine, BLOCK):
             to = min(i + BLOCK, mine)
             end = int(np.searchsorted(pos, pos[to - 1] + width, "right"))
@@ -74,17 +75,49 @@ def ld_pairs(sites: DataFrame, max_bp: int, min_maf: float = 0.05, min_r2: float
                 r = _block_r2(x[i:to], x[j : min(j + BLOCK, end)])
                 gap = pos[None, j : j + r.shape[1]] - pos[i:to, None]
                 later = (gap > 0) | (row[i:to, None] < row[None, j : j + r.shape[1]])
-                a, b = np.nonzero((gap >= 0) & (gap <= width) & later & (r >= min_r2))
-                yield pd.DataFrame({"chrom": key[0], "pos1": pos[i + a], "row1": row[i + a], "pos2": pos[j + b], "row2": row[j + b], "distance": gap[a, b], "r2": r[a, b]})
+                a, b = np.nonzero((gap >= 0) & (gap <= width) & later & ~np.isnan(r))
+                parts.append(give(table.column("chrom")[0].as_py(), pos, row, i + a, j + b, r[a, b]))
+        return pa.concat_tables(parts)
+
+    return s.groupBy("chrom", "bucket").applyInArrow(run, schema)
+
+
+def ld_pairs(sites: DataFrame, max_bp: int, min_maf: float = 0.05, min_r2: float = 0.0) -> DataFrame:
+    """(chrom, pos1, row1, pos2, row2, distance, r2) of the sites of one chromosome within max_bp, in file order; sites under min_maf are left out."""
+    names = ("chrom", "pos1", "row1", "pos2", "row2", "distance", "r2")
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.float64()]
+
+    def give(chrom: str, pos: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, r: np.ndarray) -> pa.Table:
+        if pos is None:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        keep = r >= min_r2
+        a, b, r = a[keep], b[keep], r[keep]
+        values = [pos[a], row[a], pos[b], row[b], pos[b] - pos[a], r]
+        return pa.table([pa.repeat(pa.scalar(chrom, pa.string()), len(a)), *(pa.array(v, k) for v, k in zip(values, kinds[1:]))], names=names)
 
-    schema = f"chrom {kind['chrom']}, pos1 {kind['pos']}, row1 {kind['row_id']}, pos2 {kind['pos']}, row2 {kind['row_id']}, distance {kind['pos']}, r2 double"
-    return s.groupBy("chrom", "bucket").applyInPandas(run, schema)
+    return _by_blocks(sites, max_bp, min_maf, give, "chrom string, pos1 long, row1 long, pos2 long, row2 long, distance long, r2 double")
 
 
 def ld_decay(pairs: DataFrame, width: int = 1000) -> DataFrame:
     return pairs.groupBy(F.floor(F.col("distance") / width).alias("bin")).agg(F.avg("r2").alias("mean_r2"), F.count(F.lit(1)).alias("n"))
 
 
+def decay(sites: DataFrame, max_bp: int, width: int = 1000, min_maf: float = 0.05) -> DataFrame:
+    """(bin, mean_r2, n), as ld_decay of ld_pairs, without the pairs: the tasks send the sums of each block's bins."""
+    kinds = [pa.int64(), pa.float64(), pa.int64()]
+
+    def give(chrom: str, pos: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, r: np.ndarray) -> pa.Table:
+        if pos is None:
+            return pa.table([pa.array([], k) for k in kinds], names=["bin", "s", "n"])
+        bins = (pos[b] - pos[a]) // width
+        n, s = np.bincount(bins), np.bincount(bins, r)
+        held = np.flatnonzero(n)
+        return pa.table([pa.array(v, k) for v, k in zip((held, s[held], n[held]), kinds)], names=["bin", "s", "n"])
+
+    sums = _by_blocks(sites, max_bp, min_maf, give, "bin long, s double, n long")
+    return sums.groupBy("bin").agg((F.sum("s") / F.sum("n")).alias("mean_r2"), F.sum("n").alias("n"))
+
+
 def ld_half_decay(decay: DataFrame) -> DataFrame:
     """(max_r2, half_bin): the first bin whose mean is at most half the greatest."""
     top = decay.agg(F.max("mean_r2").alias("max_r2"))
@@ -153,7 +186,7 @@ def prune(sites: DataFrame, threshold: float, batch_rows: int = 4096) -> DataFra
         for pdf in frames:
             keep = []
             for chrom, d in zip(pdf["chrom"], pdf["d"]):
-                x = np.array([np.nan if v is None else v for v in d], float)
+                x = np.asarray(d, float)  # None is NaN
                 if chrom == last_chrom and last is not None:
                     m = ~np.isnan(x) & ~np.isnan(last)
                     a, b = x[m], last[m]
@@ -177,7 +210,7 @@ def haplotype_pc1(sites: DataFrame, size: int, ploidy: int) -> DataFrame:
     """(chrom, block, start, end, n, d): the first principal component of each group, scaled to 0..ploidy; a group of one is that site. Its sign is such that it agrees with the group's mean."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")
-        x = np.array([[np.nan if v is None else v for v in d] for d in pdf.d], float)
+        x = np.array([np.asarray(d, float) for d in pdf.d])  # None is NaN
         mean = np.nanmean(np.where(np.isnan(x).all(1, keepdims=True), 0, x), 1, keepdims=True)
         z = np.where(np.isnan(x), mean, x) - mean
         if len(z) == 1:

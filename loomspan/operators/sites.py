@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calls as C
 from ..functions.kernels import chi2_sf_wh, hwe
+from .fill import dense
 
 _SUM = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -55,9 +61,29 @@ def hwe_polyploid(d: Column, ploidy: int, least: int = 5) -> Column:
 
 
 def site_stats(sites: DataFrame, ploidy: int) -> DataFrame:
-    """sites with missing, maf, eh."""
-    n = dosage_counts(F.col("d"), ploidy)
-    return sites.withColumn("__n", n).withColumn("missing", missing_share(F.col("d"))).withColumn("maf", maf(F.col("__n"))).withColumn("eh", expected_heterozygosity(F.col("__n"))).drop("__n")
+    """sites with missing, maf, eh; columns of these names are replaced. A site without arrays has null in all three.
+
+    The three come from one pass over the dosages of a batch, as a matrix, and no later filter computes them again."""
+    kept = sites.select(*(c for c in sites.columns if c.lower() not in ("missing", "maf", "eh")))
+    place = kept.columns.index("d")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dense(batch.column(place))
+            size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(place)), 0)).astype(float)
+            held = ~np.isnan(x)
+            n = held.sum(1)
+            alt = np.floor(np.where(held, x, 0.0) * ploidy + 0.5).sum(1, where=held)
+            total = n * float(ploidy)
+            ref = total - alt
+            with np.errstate(invalid="ignore", divide="ignore"):
+                missing = (size - n) / size
+                maf = np.where((alt > 0) & (ref > 0), np.minimum(alt, ref) / total, np.where(total > 0, 1.0, np.nan))
+                eh = np.where(total > 0, 1 - (ref / total) ** 2 - (alt / total) ** 2, np.nan)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, mask=np.isnan(v)) for v in (missing, maf, eh))], names=[*batch.schema.names, "missing", "maf", "eh"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{kinds}, missing double, maf double, eh double")
 
 
 def filter_sites(sites: DataFrame, ploidy: int, min_maf: float = 0.0, max_missing: float = 1.0, min_eh: float = 0.0, min_hwe_p: float = 0.0, biallelic_only: bool = False, top_n: int = -1, strict_maf: bool = False) -> DataFrame:

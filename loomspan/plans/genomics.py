@@ -107,7 +107,7 @@ def ld_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ld_decay_bins(spark: SparkSession, d: str) -> DataFrame:
-    return ld.ld_decay(_pairs(spark, d), LD_BIN).select("bin", _R("mean_r2").alias("mean_r2"), "n")
+    return ld.decay(G.sites(spark, d, 5), LD_WINDOW, LD_BIN, 0.05).select("bin", _R("mean_r2").alias("mean_r2"), "n")
 
 
 def ld_half_decay(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +119,7 @@ def ld_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curve_fit(spark: SparkSession, d: str) -> DataFrame:
-    return ld.fit_decay(ld.ld_decay(_pairs(spark, d), LD_BIN), LD_BIN).select("name", "equation", _R("r2").alias("r2"))
+    return ld.fit_decay(ld.decay(G.sites(spark, d, 5), LD_WINDOW, LD_BIN, 0.05), LD_BIN).select("name", "equation", _R("r2").alias("r2"))
 
 
 def haplotype_windows(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +32,20 @@ def sites(spark: SparkSession, d: str, min_depth: int = 0) -> DataFrame:
     c = cells(spark, d)
     total = F.col("ref_d") + F.col("alt_d")
     c = c.select("chrom", "pos", "sample", F.when((total >= min_depth) & (total > 0), F.col("alt_d") / total).alias("d"), total.alias("depth"))
-    m = c.groupBy("chrom", "pos").agg(F.map_from_entries(F.collect_list(F.struct("sample", F.struct("d", "depth").alias("x")))).alias("m"))
-    axis = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
-    get = lambda i: F.try_element_at("m", i)
-    return m.select(F.col("pos").alias("row_id"), "chrom", "pos", F.transform(axis, lambda i: get(i)["d"]).alias("d"), F.transform(axis, lambda i: get(i)["depth"]).alias("depth"))
+    held = c.groupBy("chrom", "pos").agg(F.collect_list("sample").alias("s"), F.collect_list(F.coalesce("d", F.lit(float("nan")))).alias("d"), F.collect_list("depth").alias("depth"))
+    return held.mapInArrow(_aligned, "row_id bigint, chrom string, pos bigint, d array<double>, depth array<double>")
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of samples and their values as arrays over all samples."""
+    ends = lambda n: pa.array(np.arange(n + 1, dtype=np.int32) * SAMPLES)
+    for batch in batches:
+        chrom, pos, samples, *values = batch.columns
+        n = batch.num_rows
+        at = np.asarray(pc.list_parent_indices(samples)).astype(np.int64) * SAMPLES + np.asarray(pc.list_flatten(samples))
+        out = []
+        for v in values:
+            flat = np.full(n * SAMPLES, np.nan)
+            flat[at] = np.asarray(pc.list_flatten(v))
+            out.append(pa.ListArray.from_arrays(ends(n), pa.array(flat, mask=np.isnan(flat))))
+        yield pa.RecordBatch.from_arrays([pos, chrom, pos, *out], names=["row_id", "chrom", "pos", "d", "depth"])

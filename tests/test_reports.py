@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import kernels
 from loomspan.functions import names as N
 from loomspan.operators import annotate, dosage, gwas, reports, structure, synteny
 from loomspan.sources import sinks, text
@@ -132,3 +133,9 @@ def test_leaves_and_fast_shares(spark):
     assert (fast > whole).all() and fast.sum() < 1
     with pytest.raises(ValueError):
         dosage._square(spark.createDataFrame([], "i int, j int, value double"), dosage.MOST_SAMPLES + 1)
+
+
+def test_tails_of_many_values():
+    for d1, d2 in ((1, 20), (3, 7), (2, 150)):
+        f = np.array([0.0, -1.0, 1e-6, 0.2, 0.99, 1.0, 3.7, 60.0, 1e4, 1e9, np.inf])[:10]
+        assert kernels.f_sf_array(f, d1, d2) == pytest.approx([kernels.f_sf(float(x), d1, d2) for x in f], rel=1e-9)
