@@ -10,6 +10,10 @@ from ..functions.sequences import amino, gc, kasp_score, kasp_stars
 from .ranges import near_count, overlaps
 
 
+#: Bases of a sequence that a marker is looked up in at once.
+PIECE = 10_000
+
+
 def annotate(markers: DataFrame, genes: list[tuple[DataFrame, str]], window: int = 5000) -> DataFrame:
     """Each marker with every gene that its surroundings touch: columns of markers, g_*, source, distance (0 inside).
 
@@ -52,12 +56,18 @@ def kasp(markers: DataFrame, genome: DataFrame | None = None, flank: int = 50, r
     m = near_count(markers, ["chrom"], "pos", reach)
     if genome is None:
         return m.withColumn("score", F.lit(100)).withColumn("stars", kasp_stars(F.lit(100)))
-    g = genome.select(chromosome_key(F.col("seq_id")).alias("__c"), F.col("seq").alias("__s"))
-    left_at = F.greatest(F.col("pos") - flank, F.lit(1))
-    left = F.upper(F.substring(F.col("__s"), left_at.cast("int"), (F.col("pos") - left_at).cast("int")))
-    right = F.upper(F.substring(F.col("__s"), (F.col("pos") + F.length("ref")).cast("int"), F.lit(flank)))
-    m = m.withColumn("__c", chromosome_key(F.col("chrom"))).join(g, "__c", "left")
-    m = m.withColumn("flank", F.concat(left, F.lit("["), F.col("ref"), F.lit("/"), F.col("alt"), F.lit("]"), right)).withColumn("gc", gc(F.concat(left, right))).drop("__c", "__s")
+    # pieces of the sequences, each with the flank that may follow: a marker meets two of them, not its chromosome
+    at = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / PIECE).cast("int"))
+    pieces = F.transform(at, lambda k: F.struct(k.cast("long").alias("k"), F.substring(F.col("seq"), k * PIECE + 1, F.lit(PIECE + flank)).alias("s")))
+    g = genome.filter(F.length("seq") > 0).select(chromosome_key(F.col("seq_id")).alias("__c"), F.explode(pieces).alias("p")).select("__c", "p.k", "p.s")
+    left_at, right_at = F.greatest(F.col("pos") - flank, F.lit(1)), F.col("pos") + F.length("ref")
+    side = lambda x: g.select("__c", F.col("k").alias(f"__k{x}"), F.col("s").alias(f"__s{x}"))
+    place = lambda c: F.floor((c - 1) / PIECE)
+    m = m.withColumn("__c", chromosome_key(F.col("chrom"))).withColumn("__ka", place(left_at)).withColumn("__kb", place(right_at))
+    m = m.join(side("a"), ["__c", "__ka"], "left").join(side("b"), ["__c", "__kb"], "left")
+    left = F.upper(F.substring(F.col("__sa"), (left_at - F.col("__ka") * PIECE).cast("int"), (F.col("pos") - left_at).cast("int")))
+    right = F.upper(F.coalesce(F.substring(F.col("__sb"), (right_at - F.col("__kb") * PIECE).cast("int"), F.lit(flank)), F.when(F.col("__sa").isNotNull(), "")))
+    m = m.withColumn("flank", F.concat(left, F.lit("["), F.col("ref"), F.lit("/"), F.col("alt"), F.lit("]"), right)).withColumn("gc", gc(F.concat(left, right))).drop("__c", "__ka", "__kb", "__sa", "__sb")
     score = F.when(F.col("flank").isNull(), 100).otherwise(kasp_score(F.col("near"), F.coalesce("gc", F.lit(0.5))))
     return m.withColumn("score", score).withColumn("stars", kasp_stars(score))
 

@@ -23,6 +23,8 @@ from .structure import MOST_SAMPLES, _filled
 MODELS = ("ADDITIVE", "SIMPLEX", "DUPLEX", "TRIPLEX", "SIMPLEX_REF", "DUPLEX_REF", "TRIPLEX_REF", "GENERAL")
 #: Markers of a chromosome below which it shares a group with the others like it.
 LEAST_MARKERS = 100
+#: Most bytes of all groups' null models, which every executor holds.
+MOST_NULL_BYTES = 2 << 30
 
 
 @dataclass
@@ -206,16 +208,21 @@ def scan(sites: DataFrame, y: np.ndarray, kinship: np.ndarray | dict[str, np.nda
     x0 = covariates if covariates is not None else np.ones((len(y), 1))
     per = kinship if isinstance(kinship, dict) else {"": kinship}
     nulls = {g: fit_null(k[np.ix_(has, has)], y[has], x0[has], delta) for g, k in per.items()}
-    kin = {g: k for g, k in per.items()}
     grouped = isinstance(kinship, dict)
+    size = sum(x.u.nbytes for x in nulls.values())
+    if size > MOST_NULL_BYTES:
+        raise ValueError(f"the null models take {size >> 20} MB: scan fewer groups at once")
+    # sent to an executor once, not with each task; the kinships only where missing dosages need them
+    sent = sites.sparkSession.sparkContext.broadcast((nulls, per if impute == "knn" else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nulls, kin = sent.value
         for batch in batches:
             x = dense(batch.column(3))
             of = np.array(batch.column(4).to_pylist()) if grouped else np.zeros(len(x), "U1")
             for g in np.unique(of):
                 at = np.flatnonzero(of == g)
-                d = impute_batch(x[at], impute, kin[g])[:, has]
+                d = impute_batch(x[at], impute, kin and kin[g])[:, has]
                 for model in models:
                     p, effect, r2, aic = test_markers(nulls[g], d, model, ploidy)
                     hit = np.flatnonzero(p < 1)

@@ -11,9 +11,9 @@ from ..operators import rejects
 
 
 def variant_stream(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
-    """(file, value, arrived) of the lines of new files, carriage returns dropped; arrived is the file's time."""
+    """(file, block, value, arrived) of the lines of new files, carriage returns dropped; block: where the line's part of the file begins; arrived: the file's time."""
     raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_modification_time").alias("arrived"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def sites_of(stream: DataFrame) -> DataFrame:
@@ -39,7 +39,9 @@ def load_valid(spark: SparkSession, folder: str, good: str, bad: str, checkpoint
     lines = variant_stream(spark, folder, files_per_batch)
 
     def write(batch: DataFrame, number: int) -> None:
-        numbered = batch.select("file", F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw_line"))
+        # ascends within a file, whatever tasks its parts are read by (see sources.text.lines)
+        place = F.col("block") + F.monotonically_increasing_id() % F.lit(1 << 33)
+        numbered = batch.select("file", place.alias("line_no"), F.col("value").alias("raw_line"))
         checked = rejects.check_lines(numbered, "file").persist()
         try:
             rejects.loaded(checked, "file").write.mode("overwrite").parquet(f"{good}/batch={number}")

@@ -139,3 +139,39 @@ def test_tails_of_many_values():
     for d1, d2 in ((1, 20), (3, 7), (2, 150)):
         f = np.array([0.0, -1.0, 1e-6, 0.2, 0.99, 1.0, 3.7, 60.0, 1e4, 1e9, np.inf])[:10]
         assert kernels.f_sf_array(f, d1, d2) == pytest.approx([kernels.f_sf(float(x), d1, d2) for x in f], rel=1e-9)
+
+
+def test_long_alignments():
+    """Rows that are made again on the way back give what the whole matrix gives."""
+    rng = np.random.default_rng(9)
+
+    def whole(a, b):
+        score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if i or j:
+                    score[i][j] = max(([score[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1)] if i and j else []) + ([score[i - 1][j] - 2] if i else []) + ([score[i][j - 1] - 2] if j else []))
+        x, y, i, j = "", "", len(a), len(b)
+        while i or j:
+            if i and j and score[i][j] == score[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
+                i, j, x, y = i - 1, j - 1, x + a[i - 1], y + b[j - 1]
+            elif i and score[i][j] == score[i - 1][j] - 2:
+                i, x, y = i - 1, x + a[i - 1], y + "-"
+            else:
+                j, x, y = j - 1, x + "-", y + b[j - 1]
+        return x[::-1], y[::-1]
+
+    for n, m in ((0, 3), (3, 0), (63, 70), (64, 64), (65, 20), (200, 190), (130, 5)):
+        a, b = ("".join(rng.choice(list("ACGT"), k)) for k in (n, m))
+        assert kernels.align(a, b) == whole(a, b)
+
+
+def test_flanks_over_pieces(spark, monkeypatch):
+    monkeypatch.setattr(annotate, "PIECE", 7)
+    seq = "".join(np.random.default_rng(1).choice(list("ACGT"), 60))
+    m = spark.createDataFrame([(f"m{p}", "c", p, seq[p - 1 : p + 1 + p % 3], "T") for p in range(1, 61)], "marker string, chrom string, pos long, ref string, alt string")
+    got = {r.pos: r.flank for r in annotate.kasp(m, spark.createDataFrame([("c", seq), ("d", "")], "seq_id string, seq string"), 5).collect()}
+    for p in range(1, 61):
+        ref = seq[p - 1 : p + 1 + p % 3]
+        end = p - 1 + len(ref)
+        assert got[p] == f"{seq[max(p - 6, 0) : p - 1]}[{ref}/T]{seq[end : end + 5]}"
