@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.kernels import f_sf, f_sf_array, t_sf2
-from ..runtime import small
+from ..runtime import small, tree_sum
 from .fill import dense
 from .structure import MOST_SAMPLES, _filled
 
@@ -167,10 +167,8 @@ def loco_kinships(sites: DataFrame, ploidy: int) -> dict[str, np.ndarray]:
         for g, sums in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([sums.tobytes()])], names=["grp", "sums"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"grp": [pdf.grp.iloc[0]], "sums": [sum(np.frombuffer(x) for x in pdf.sums).tobytes()]})
-
-    rows = sites.select("grp", "d").mapInArrow(run, "grp string, sums binary").groupBy("grp").applyInPandas(add, "grp string, sums binary").collect()
+    parts = sites.select("grp", "d").mapInArrow(run, "grp string, sums binary")
+    rows = tree_sum(parts, ["grp"], ["sums"]).collect()
     parts = {r.grp: np.frombuffer(r.sums) for r in rows}  # samples by samples for each chromosome
     total = sum(parts.values())
     return {g: ((total - p)[:-1] / ((total - p)[-1] + 1e-10)).reshape(n, n) for g, p in parts.items()}

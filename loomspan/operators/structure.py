@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import tree_sum
 from .dosage import MOST_SAMPLES
 from .fill import dense
 
 
 
 def _gram(sites: DataFrame, kernel: object, n: int, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of kernel(x) over all sites; x is a batch of sites by samples. Partial sums are added in groups before the driver adds those."""
+    """The sum of kernel(x) over all sites; x is a batch of sites by samples. The tasks' sums are added in levels; the driver gets one of each row."""
     if n > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} samples")
 
@@ -29,17 +30,15 @@ def _gram(sites: DataFrame, kernel: object, n: int, extra: int = 0) -> tuple[np.
                 a, b = kernel(dense(batch.column(0)))
                 g += a
                 e += b
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([r.tobytes() for r in g]), pa.array([e.tobytes()] * n)], names=["i", "row", "extra"])
-
-    def add(pdf: object) -> object:
-        import pandas as pd
-
-        row = sum(np.frombuffer(x) for x in pdf["row"])
-        e = sum(np.frombuffer(x) for x in pdf["extra"])
-        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "row": [row.tobytes()], "extra": [e.tobytes()]})
-
-    rows = sites.select("d").mapInArrow(run, "i int, row binary, extra binary").groupBy("i").applyInPandas(add, "i int, row binary, extra binary").orderBy("i").collect()
-    return np.array([np.frombuffer(r.row) for r in rows]), np.frombuffer(rows[0].extra) if rows else np.zeros(max(extra, 1))
+        # the last row is `extra`
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1, dtype=np.int32)), pa.array([*(r.tobytes() for r in g), e.tobytes()])], names=["i", "row"])
+
+    dosages = sites.select("d")
+    parts = dosages.mapInArrow(run, "i int, row binary")
+    rows = tree_sum(parts, ["i"], ["row"]).orderBy("i").collect()
+    if not rows:
+        return np.zeros((n, n)), np.zeros(max(extra, 1))
+    return np.array([np.frombuffer(r.row) for r in rows[:-1]]).reshape(n, n), np.frombuffer(rows[-1].row)
 
 
 def sample_count(sites: DataFrame) -> int:

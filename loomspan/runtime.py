@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,43 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+#: Parts that one task adds up.
+FAN_IN = 64
+
+
+def tasks_of(df: DataFrame) -> int:
+    """The tasks that give df: as many as its files' parts, or, after a shuffle, about as many as the session's. Nothing is run."""
+    if "Adaptive" in df._jdf.queryExecution().executedPlan().nodeName():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.rdd.getNumPartitions()
+
+
+def tree_sum(parts: DataFrame, by: list[str], blobs: list[str]) -> DataFrame:
+    """The sums of vectors of doubles given as binaries, by the columns `by`.
+
+    Whatever the number of tasks that give parts, none adds more than FAN_IN of a sum (or a few more, if a shuffle made
+    more tasks than the session's number): each level adds those of FAN_IN tasks."""
+    kinds = dict(parts.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "__k long", *(f"`{c}` binary" for c in blobs)])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = {c: [pdf[c].iloc[0]] for c in [*by, "__k"]}
+        for c in blobs:
+            total = np.frombuffer(pdf[c].iloc[0]).copy()
+            for x in pdf[c].iloc[1:]:
+                total += np.frombuffer(x)
+            out[c] = [total.tobytes()]
+        return pd.DataFrame(out)
+
+    left = max(tasks_of(parts), 1)
+    parts = parts.withColumn("__k", F.spark_partition_id().cast("long"))
+    while True:
+        left = -(-left // FAN_IN)
+        parts = parts.withColumn("__k", F.expr(f"__k div {FAN_IN}") if left > 1 else F.lit(0).cast("long")).groupBy(*by, "__k").applyInPandas(add, schema)
+        if left == 1:
+            return parts.drop("__k")
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have yet, in any case."""
     taken = {c.lower() for c in df.columns}
