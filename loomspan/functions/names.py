@@ -20,6 +20,7 @@ def contig_key(c: Column) -> Column:
 
 
 def gene_key(c: Column) -> Column:
+    # The prefixes of ids.
     return F.regexp_replace(c, "(?i)^(gene:|mrna:|transcript:)", "")
 
 
@@ -32,6 +33,7 @@ def base_keys(c: Column) -> Column:
 
 def description(attrs: Column) -> Column:
     """The first attribute that describes a gene, decoded."""
+    # Attributes in their order of priority.
     keys = ("description", "Description", "Note", "note", "product", "function", "Dbxref", "Ontology_term")
     found = F.coalesce(*(F.nullif(F.trim(F.try_element_at(attrs, F.lit(k))), F.lit("")) for k in keys))
     return F.coalesce(F.try_url_decode(found), found)
