@@ -4,7 +4,7 @@ _P2 = r"""
 with h as (select hit_id, any_value(chromosome) as c, any_value(run_day) as run_day, any_value(p_value) as p from gwas_hits where p_value > 0 and p_value <= 1 group by hit_id),
 k as (select *, lower(regexp_replace(c, '\s+', '', 'g')) as low from h),
 m as (select *, regexp_extract(low, '^(?:chromosome|chrom|chr|scaffold)?[_\-.:]*0*([0-9]+)$', 1) as num from k),
-g as (select case when num = '' then trim(c) when starts_with(low, 'scaffold') then 'scaffold_' || lpad(num, 3, '0') else 'Chr' || case when len(num) < 2 then '0' || num else num end end as chromosome, run_day, p from m),
+g as (select case when num = '' then trim(c) when starts_with(low, 'scaffold') then 'scaffold_' || case when len(num) < 3 then lpad(num, 3, '0') else num end else 'Chr' || case when len(num) < 2 then '0' || num else num end end as chromosome, run_day, p from m),
 q as (select chromosome, run_day, count(*) as n, quantile_cont(p, [0.25, 0.5, 0.75]) as v from g group by all having count(*) >= 50),
 u as (select chromosome, run_day, unnest([25, 50, 75])::int as pct, n, unnest(v) as v from q)
 """
