@@ -59,3 +59,23 @@ def test_copies_ties_and_dirt(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, v array<double>")
     assert vectors.similar_vectors(df, "id", "v").count() == 0
+
+
+def test_vectors_are_never_broadcast(spark):
+    """However small the tables are: joins of vectors are sorted and merged."""
+    x = families(np.random.default_rng(3), 30, 3, 0.03)
+    df = vectors.similar_vectors(frame(spark, x), "id", "v", 2, 0.08, 0.0, 1.0, 32)
+    assert df.count() > 50
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "Broadcast" not in plan
+
+
+def test_sparse_rows_and_any_range(spark):
+    """Rows with many missing elements are found, too, and values needn't lie between 0 and 1."""
+    rng = np.random.default_rng(4)
+    x = families(rng, 80, 5, 0.02) * 1000 - 300
+    x[::5][rng.random((80, 64)) < 0.3] = np.nan
+    want = brute(np.arange(len(x)), x, 3, 60.0, 20)
+    have = got(vectors.similar_vectors(frame(spark, x), "id", "v", 3, 60.0, least=20))
+    total = sum(map(len, want.values()))
+    assert total > 900 and sum(len(set(want[i]) & set(have.get(i, []))) for i in want) / total >= 0.97
