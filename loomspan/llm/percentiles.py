@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..runtime import cut, small
+from ..runtime import cut, release, small
 
 #: Times an interval is halved in one pass.
 HALVINGS = 4
@@ -79,6 +79,7 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, pcts: Sequence
         found = open_.drop("value", "inside").join(counts, [*g, "lo", "hi"]).filter((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("here")))
         found = found.select(*g, "n", "pct", F.col("least").alias("lo"), F.col("greatest").alias("hi"), "want", (F.col("rank") - F.col("below")).alias("rank"), F.col("here").alias("inside"))
         state = cut(_settle(found))
+    release(base)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -188,6 +188,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nested, marks], names=[doc, "lang", "ids", "labels"])
 
     table = cut(joined.mapInArrow(to_ids, f"`{doc}` {kind}, lang string, ids array<array<int>>, labels array<int>"))
+    release(said)
     marked = table.filter(F.col("labels").isNotNull())
     # two letters each, so they are few; the last place is the other languages'
     langs = sorted(r.lang for r in marked.filter((F.col("lang") != "") & F.exists("ids", lambda x: F.size(x) > 0)).select("lang").distinct().collect()) + [""]
@@ -219,8 +220,8 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc:
             model = _centred(blank, sums, len(langs))
         for _ in range(REFINEMENTS):
             model = _centred(model, _gathered(heavy, ["ids", "lang"], _assigned_sums(model, model, tongue), s * len(langs), space.shape[1]), len(langs))
+        release(heavy)
         if round_ < ROUNDS - 1:
-            release(heavy)
             counts = said_by_labels + _gathered(table, ["ids"], _term_counts(model), v, s)  # by what else is said in the same document
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
