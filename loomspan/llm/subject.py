@@ -29,6 +29,8 @@ LEAST_SENTENCES, DIMENSIONS = 3, 64
 MOST_SUBJECTS = 1000
 #: Passes of the decomposition, of the refinement, and rounds of the whole.
 PASSES, REFINEMENTS, ROUNDS = 2, 2, 3
+#: A term in one of so many sentences or fewer has full rarity: shares count, so a larger corpus doesn't make all terms common.
+RAREST = 10_000
 #: Words and bearing terms that a sentence must have to be about a subject, least weight of a bearing term, and least cosine.
 LEAST_WORDS, LEAST_TERMS, BEARING, LEAST_COSINE = 4, 2, 0.25, 0.3
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -139,7 +141,9 @@ def _gathered(table: DataFrame, columns: list[str], kernel: object, rows: int, w
 
 
 def _weights(counts: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
-    """Rarity times unevenness over the subjects, from 0 to about 1; terms seen too seldom with subjects have none."""
+    """Rarity times unevenness over the subjects, from 0 to about 1; terms seen too seldom with subjects have none.
+
+    From 50 * RAREST sentences on, rarity goes by a term's share of them alone."""
     share = counts / np.maximum(counts.sum(0), 1)
     p = share / np.maximum(share.sum(1, keepdims=True), 1e-12)
     entropy = -(p * np.log(np.maximum(p, 1e-12))).sum(1)
@@ -148,7 +152,7 @@ def _weights(counts: np.ndarray, frequency: np.ndarray, n: int) -> np.ndarray:
     entropy += (counts.shape[1] - 1) / (2 * np.maximum(seen, 0.5))
     uneven = np.clip(1 - entropy / math.log(max(counts.shape[1], 2)), 0, 1)
     rare = np.log(n / frequency)
-    return (uneven * np.minimum(rare / math.log(max(n / 50, 3)), 1)).astype(np.float32)
+    return (uneven * np.minimum(rare / math.log(max(min(n / 50, RAREST), 3)), 1)).astype(np.float32)
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, subjects: list[str], doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -1,6 +1,8 @@
 import base64
 import random
 
+import numpy as np
+
 from loomspan.llm import mail, subject
 
 OWN = "Hello,\n\nThe goat ate the hay. We fed the goat.\n\nBest,\nAna\n"
@@ -72,3 +74,27 @@ def test_languages_of_few_documents(spark):
     labels = spark.createDataFrame(known, "doc_id long, subject string")
     got = {r.doc_id: r.subject for r in subject.subject_areas(df, labels, names).filter("doc_id >= 2000").collect()}
     assert sum(got.get(k) == v for k, v in truth.items()) >= 15
+
+
+def test_weights_do_not_fall_with_the_size():
+    """Terms with the same shares bear as much in a corpus 78 or 10,000 times as large."""
+    n = 600_000
+    frequency = np.array([n / 20, n / 40, n / 200, n / 2000, n / 2000])
+    counts = np.diag(frequency)[:, :4]
+    counts[4] = counts[:4].sum(0) / 100  # falls evenly on the subjects
+    at = subject._weights(counts, frequency, n)
+    assert (at[:4] >= subject.BEARING).all() and at[4] < 0.01
+    for k in (78, 10_000):
+        assert np.allclose(subject._weights(counts * k, frequency * k, n * k), at, atol=0.02)
+
+
+def test_subjects_of_a_corpus_many_times_as_large(spark, monkeypatch):
+    """The weights are made as for 100,000 copies of the documents, which have the subjects of one copy."""
+    names, k, real = sorted(WORDS), 100_000, subject._weights
+    rnd = random.Random(7)
+    docs = [(i, f"From: P <p@x.example>\n\n{' '.join(rnd.choice(FRAMES).format(*rnd.sample(WORDS[names[i % 3]], 3)) for _ in range(3))} Could you confirm the room for Thursday?\n", "en") for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, names[i % 3]) for i in range(0, 600, 4)], "doc_id long, subject string")
+    monkeypatch.setattr(subject, "_weights", lambda counts, frequency, n: real(counts * k, frequency * k, n * k))
+    got = {(r.doc_id, r.subject) for r in subject.subject_areas(df, labels, names).collect()}
+    assert len(got & {(i, names[i % 3]) for i in range(600)}) > 0.97 * 600
